@@ -59,8 +59,9 @@ def lexicon_score(
     lexicon: Mapping[str, float] = defaults.LEXICON,
     boosters: Mapping[str, float] = defaults.BOOSTERS,
     negations: Sequence[str] = defaults.NEGATIONS,
+    places: int = 4,
 ) -> Column:
-    """Compound score in [-1, 1] of one text, rounded to four places.
+    """Compound score in [-1, 1] of one text.
 
     Everything happens inside the row: no shuffle, and the lexicon travels with
     the plan as a constant.
@@ -102,7 +103,7 @@ def lexicon_score(
     emphasis = bangs * EXCLAMATION + (
         F.when(asks <= 1, 0.0).when(asks <= MAX_QUESTIONS, asks * QUESTION).otherwise(MANY_QUESTIONS)
     )
-    return compound(total, emphasis)
+    return F.bround(compound(total, emphasis), places)
 
 
 def compound(total: Column, emphasis: Column) -> Column:
@@ -110,7 +111,7 @@ def compound(total: Column, emphasis: Column) -> Column:
     s = F.aggregate(
         F.array(total), F.lit(0.0).cast("double"), lambda acc, v: acc + v + F.signum(v) * emphasis
     )
-    return F.bround(s / F.sqrt(s * s + NORMALIZER), 4)
+    return s / F.sqrt(s * s + NORMALIZER)
 
 
 def token_table(df: DataFrame, id_col: str, text: str) -> DataFrame:
