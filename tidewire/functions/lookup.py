@@ -1,10 +1,10 @@
-"""Dictionary lookup as a plain column expression."""
+"""Small building blocks of column expressions."""
 
 from __future__ import annotations
 
 import json
 import zlib
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -28,3 +28,12 @@ def dict_lookup(key: Column, mapping: Mapping[str, object], value_type: str) ->
         shelves[zlib.crc32(k.encode("utf-8")) % n][k] = v
     table = F.from_json(F.lit(json.dumps(shelves)), f"array<map<string,{value_type}>>")
     return F.try_element_at(F.get(table, (F.crc32(key) % F.lit(n)).cast("int")), key)
+
+
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once.
+
+    Inside the lambda of ``transform`` and its like, an outer expression would
+    be computed anew for every element; a lambda variable is not.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))

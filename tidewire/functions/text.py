@@ -19,6 +19,12 @@ SPACES = (
     r"\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 )
+SPACE_CHARS = "".join(
+    chr(i)
+    for lo, hi in [(0x9, 0xD), (0x1C, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A),
+                   (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000)]
+    for i in range(lo, hi + 1)
+)
 WORD = f"[^{SPACES}]+"
 EDGE_SPACE = f"^[{SPACES}]+|[{SPACES}]+\\z"
 
@@ -26,10 +32,13 @@ COMMENT = r"(?s)<!--.*?(?:-->|\z)"
 TAG = r"<[/!?]?[A-Za-z][^>]*>"
 URL = f"(?:http|www){WORD}"
 EMAIL = f"{WORD}@{WORD}"
+# The same, tried at word starts only: elsewhere it could just rescan the word.
+EMAIL_AT_WORD_START = f"(?<!{WORD[:-1]}){EMAIL}"
 ENTITY_HEAD = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
 
 # Characters and runs that stand as tokens of their own next to a word.
-TOKEN_BREAK = r"""["«»“”„‘’`;@#$%&?!()\[\]{}<>]|--+|\.\.+"""
+BREAK_CHARS = '"«»“”„‘’`;@#$%&?!()[]{}<>'
+BREAK_RUN = r"--+|\.\.+"
 PAUSE = r"([,:])([^0-9])"
 CLITIC = r"(n't|'s|'m|'d|'ll|'re|'ve|'|[.,:]) "
 LETTERS = r"^\p{L}+$"
@@ -48,9 +57,22 @@ def is_blank(c: Column) -> Column:
     return ~F.coalesce(c, F.lit("")).rlike(WORD)
 
 
+def _blank_out(c: Column, chars: str) -> Column:
+    return F.translate(c, chars, " " * len(chars))
+
+
+def plain_spaces(c: Column) -> Column:
+    """Every kind of white space as a blank."""
+    return _blank_out(c, SPACE_CHARS)
+
+
+def _split_blanks(c: Column) -> Column:
+    return F.array_remove(F.split(c, " ", -1), "")
+
+
 def words(c: Column) -> Column:
     """White-space words in order."""
-    return F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(WORD), F.lit(0))
+    return _split_blanks(plain_spaces(F.coalesce(c, F.lit(""))))
 
 
 def word_count(c: Column) -> Column:
@@ -83,8 +105,7 @@ def unescape_html(c: Column, entities: Mapping[str, str] = defaults.ENTITIES) ->
         decoded = F.when(char.isNotNull(), F.concat(char, rest)).otherwise(F.concat(F.lit("&"), part))
         return F.when(i == 0, part).otherwise(decoded)
 
-    pieces = F.transform(F.split(c, "&", -1), piece)
-    return F.when(F.contains(c, F.lit("&")), F.array_join(pieces, "")).otherwise(c)
+    return F.array_join(F.transform(F.split(c, "&", -1), piece), "")
 
 
 def strip_html(c: Column) -> Column:
@@ -100,7 +121,7 @@ def remove_urls(c: Column) -> Column:
 
 
 def remove_emails(c: Column) -> Column:
-    return F.regexp_replace(c, EMAIL, "")
+    return F.regexp_replace(c, EMAIL_AT_WORD_START, "")
 
 
 def drop_short_words(c: Column) -> Column:
@@ -113,13 +134,13 @@ def tokenize(c: Column) -> Column:
 
     Blanks are doubled so that neighbouring tokens never share a delimiter.
     """
-    text = F.regexp_replace(c, TOKEN_BREAK, " ")
+    text = F.regexp_replace(_blank_out(c, SPACE_CHARS + BREAK_CHARS), BREAK_RUN, " ")
     text = F.regexp_replace(text, PAUSE, " $2")
-    text = F.concat(F.lit(" "), F.regexp_replace(text, f"[{SPACES}]+", "  "), F.lit("  "))
+    text = F.concat(F.lit(" "), F.regexp_replace(text, " +", "  "), F.lit("  "))
     text = F.regexp_replace(text, CLITIC, "  ")
     for joined, parts in defaults.CONTRACTIONS.items():
         text = F.replace(text, F.lit(f" {joined} "), F.lit(f" {parts} "))
-    return words(text)
+    return _split_blanks(text)
 
 
 def alphabetic(tokens: Column) -> Column:
@@ -162,8 +183,10 @@ def clean_tokens(
     lemmas: Mapping[str, str] = defaults.LEMMAS,
 ) -> Column:
     """HTML, URLs, e-mails, short words out; lower; tokens; letters only; no stopwords; lemmas."""
-    text = strip_html(F.coalesce(c, F.lit("")))
-    text = drop_short_words(remove_emails(remove_urls(text)))
+    text = remove_urls(strip_html(F.coalesce(c, F.lit(""))))
+    # A word with an inner @ is exactly what the e-mail pattern removes.
+    plain = F.filter(words(text), lambda w: (F.length(w) > 1) & ~w.rlike(".@."))
+    text = F.array_join(plain, " ")
     stop = list(stopwords)
     kept = F.filter(tokenize(F.lower(text)), lambda t: t.rlike(LETTERS) & ~t.isin(stop))
     return lemmatize(kept, lemmas)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire import defaults
-from tidewire.functions.lookup import dict_lookup
+from tidewire.functions.lookup import bind, dict_lookup
 from tidewire.functions.text import words
 
 # Fixed values of the published rule.
@@ -40,14 +40,17 @@ def bare_words(text: Column) -> Column:
 
 def tokens_in_context(text: Column) -> Column:
     """Array of (pos, token, prev1, prev2, prev3): each word with the three before it."""
-    tokens = bare_words(text)
-    return F.transform(
-        tokens,
-        lambda w, i: F.struct(
-            i.alias("pos"), w.alias("token"),
-            *[F.get(tokens, i - k).alias(f"prev{k}") for k in (1, 2, 3)],
-        ),
-    )
+
+    def in_context(tokens: Column) -> Column:
+        return F.transform(
+            tokens,
+            lambda w, i: F.struct(
+                i.alias("pos"), w.alias("token"),
+                *[F.get(tokens, i - k).alias(f"prev{k}") for k in (1, 2, 3)],
+            ),
+        )
+
+    return bind(bare_words(text), in_context)
 
 
 def _shouted(w: Column) -> Column:
@@ -67,36 +70,44 @@ def lexicon_score(
     the plan as a constant.
     """
     negations = list(negations)
-    tokens = bare_words(text)
-    shouts = F.size(F.filter(tokens, _shouted))
-    mixed = (shouts > 0) & (shouts < F.size(tokens))
-
-    def valence_at(w: Column, i: Column) -> Column:
-        plain = F.coalesce(dict_lookup(F.lower(w), lexicon, "double"), F.lit(0.0))
-        start = F.when(F.lower(w).isin(list(boosters)), 0.0).otherwise(plain)
-        start = start + F.when(mixed & _shouted(w), F.signum(start) * CAPITALS).otherwise(0.0)
-
-        def step(v: Column, k: Column) -> Column:
-            word = F.get(tokens, i - k)
-            low = F.lower(word)
-            known = dict_lookup(low, lexicon, "double").isNotNull()
-            push = F.coalesce(dict_lookup(low, boosters, "double"), F.lit(0.0))
-            push = push + F.when(mixed & _shouted(word) & (push != 0), CAPITALS).otherwise(0.0)
-            damp = F.when(k == 1, DAMPING[0]).when(k == 2, DAMPING[1]).otherwise(DAMPING[2])
-            flip = F.when(low.isin(negations) | F.contains(low, F.lit("n't")), NEGATION).otherwise(1.0)
-            return F.when(word.isNull() | known, v).otherwise((v + F.signum(v) * push * damp) * flip)
-
-        nearby = F.sequence(F.lit(1), F.lit(3))
-        return F.when(start == 0, F.lit(0.0)).otherwise(F.aggregate(nearby, start, step))
-
-    low_tokens = F.transform(tokens, F.lower)
-    but_at = F.array_position(low_tokens, "but") - 1
-
-    def around_but(w: Column, i: Column) -> Column:
+
+    def step(tokens: Column, mixed: Column, i: Column, v: Column, k: Column) -> Column:
+        word = F.get(tokens, i - k)
+        low = F.lower(word)
+        known = dict_lookup(low, lexicon, "double").isNotNull()
+        push = F.coalesce(dict_lookup(low, boosters, "double"), F.lit(0.0))
+        push = push + F.when(mixed & _shouted(word) & (push != 0), CAPITALS).otherwise(0.0)
+        damp = F.when(k == 1, DAMPING[0]).when(k == 2, DAMPING[1]).otherwise(DAMPING[2])
+        flip = F.when(low.isin(negations) | F.contains(low, F.lit("n't")), NEGATION).otherwise(1.0)
+        return F.when(word.isNull() | known, v).otherwise((v + F.signum(v) * push * damp) * flip)
+
+    def adjusted(tokens: Column, mixed: Column, but_at: Column, w: Column, i: Column) -> Column:
+        low = F.lower(w)
+        plain = F.when(low.isin(list(boosters)), 0.0).otherwise(dict_lookup(low, lexicon, "double"))
         side = F.when((but_at < 0) | (i == but_at), 1.0).when(i < but_at, BEFORE_BUT).otherwise(AFTER_BUT)
-        return valence_at(w, i) * side
 
-    total = F.aggregate(F.transform(tokens, around_but), F.lit(0.0), lambda s, v: s + v)
+        def nearby(v: Column) -> Column:
+            start = v + F.when(mixed & _shouted(w), F.signum(v) * CAPITALS).otherwise(0.0)
+            three = F.sequence(F.lit(1), F.lit(3))
+            after = F.aggregate(three, start, lambda acc, k: step(tokens, mixed, i, acc, k))
+            return F.when(F.coalesce(v, F.lit(0.0)) == 0, F.lit(0.0)).otherwise(after * side)
+
+        return bind(plain, nearby)
+
+    def sum_of(tokens: Column) -> Column:
+        shouts = F.size(F.filter(tokens, _shouted))
+        facts = F.struct(
+            ((shouts > 0) & (shouts < F.size(tokens))).alias("mixed"),
+            (F.array_position(F.transform(tokens, F.lower), "but") - 1).alias("but_at"),
+        )
+
+        def add_up(f: Column) -> Column:
+            values = F.transform(tokens, lambda w, i: adjusted(tokens, f["mixed"], f["but_at"], w, i))
+            return F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v)
+
+        return bind(facts, add_up)
+
+    total = bind(bare_words(text), sum_of)
     filled = F.coalesce(text, F.lit(""))
     bangs = F.least(F.length(filled) - F.length(F.replace(filled, F.lit("!"))), F.lit(MAX_EXCLAMATIONS))
     asks = F.length(filled) - F.length(F.replace(filled, F.lit("?")))
@@ -108,10 +119,8 @@ def lexicon_score(
 
 def compound(total: Column, emphasis: Column) -> Column:
     """Add the emphasis away from zero and squash to [-1, 1]."""
-    s = F.aggregate(
-        F.array(total), F.lit(0.0).cast("double"), lambda acc, v: acc + v + F.signum(v) * emphasis
-    )
-    return s / F.sqrt(s * s + NORMALIZER)
+    stressed = bind(total, lambda v: v + F.signum(v) * emphasis)
+    return bind(stressed, lambda s: s / F.sqrt(s * s + NORMALIZER))
 
 
 def token_table(df: DataFrame, id_col: str, text: str) -> DataFrame:

@@ -9,6 +9,9 @@ from tidewire.queries.registry import quoted as q
 from tidewire.queries.registry import quoted_list
 
 
+BREAK_CLASS = r'''["«»“”„‘’`;@#$%&?!()\[\]{}<>]'''
+
+
 def gsub(c: str, pattern: str, by: str = "") -> str:
     return f"regexp_replace({c}, {q(pattern)}, {q(by)}, 'g')"
 
@@ -54,7 +57,7 @@ def no_short_words(c: str) -> str:
 
 
 def tokens(c: str) -> str:
-    c = gsub(gsub(c, T.TOKEN_BREAK, " "), T.PAUSE, r" \2")
+    c = gsub(gsub(gsub(c, BREAK_CLASS, " "), T.BREAK_RUN, " "), T.PAUSE, r" \2")
     c = f"' ' || {gsub(c, '[' + T.SPACES + ']+', '  ')} || '  '"
     c = gsub(f"({c})", T.CLITIC, "  ")
     for joined, parts in defaults.CONTRACTIONS.items():

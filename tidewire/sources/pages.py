@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.functions.text import COMMENT, SPACES, TAG, element_pattern, strip, unescape_html
+from tidewire.functions.text import COMMENT, TAG, element_pattern, plain_spaces, unescape_html
 
 MIN_BODY_CHARS = 100
 TITLE = r"(?is)<title(?:[ \t\r\n][^>]*)?>(.*?)</title[ \t\r\n]*>"
@@ -14,7 +14,7 @@ SKIPPED = ("head", "script", "style", "template", "nav")
 
 
 def _tidy(c: Column) -> Column:
-    return strip(F.regexp_replace(unescape_html(c), f"[{SPACES}]+", " "))
+    return F.trim(F.regexp_replace(plain_spaces(unescape_html(c)), " +", " "))
 
 
 def page_title(html: Column) -> Column:
