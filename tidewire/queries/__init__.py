@@ -6,7 +6,7 @@ from importlib import import_module
 
 from tidewire.queries.registry import ORACLES, QUERIES
 
-MODULES = ("analysis", "textual", "corpus")
+MODULES = ("analysis", "textual", "corpus", "collecting")
 
 
 def load():
