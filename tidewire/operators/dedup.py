@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def keep_first(df: DataFrame, key: str, *order: str) -> DataFrame:
+def keep_first(df: DataFrame, key: str | list[str], *order: str) -> DataFrame:
     """One row per ``key``: the first by ``order``, which must be a total order.
 
     The rank filter lets Spark keep only each task's first row per key before

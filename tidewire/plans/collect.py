@@ -53,21 +53,21 @@ def collect_windows(
     ``slots`` is (name, file_no, slot) with the windows in the order of their
     first slot. A URL counts as seen only if its file was really read, so the
     windows are settled one after the other; each one leaves at most its quota
-    plus one file.
+    plus one file. The feed lines themselves are scanned once for all windows.
     """
     names = [r[0] for r in slots.groupBy("name").agg(F.min("slot").alias("s")).orderBy("s").select("name").collect()]
     quota = target_total // max(len(names), 1)
     relevant = lines.filter(is_web_url(F.col("url")) & mentions_either(F.col("themes"), F.col("url"), keywords))
+    listed = to_articles(
+        relevant.join(F.broadcast(slots), "slot"), "name", *ORDER, scraped_at=scraped_at, with_tone=False
+    )
+    candidates = cut_lineage(keep_first(listed, ["name", "url"], *ORDER))
     result = None
     for name in names:
-        files = slots.filter(F.col("name") == name).select("file_no", "slot")
-        rows = to_articles(
-            relevant.join(F.broadcast(files), "slot"), *ORDER, scraped_at=scraped_at, with_tone=False
-        )
+        in_window = candidates.filter(F.col("name") == name).withColumnRenamed("name", "window")
         seen = stored.select("url") if result is None else stored.select("url").unionByName(result.select("url"))
-        fresh = not_stored(keep_first(rows, "url", *ORDER), seen)
-        accepted, _ = quota_by_file(fresh, files, quota)
-        accepted = cut_lineage(accepted.withColumn("window", F.lit(name)))
+        files = slots.filter(F.col("name") == name).select("file_no", "slot")
+        accepted = cut_lineage(quota_by_file(not_stored(in_window, seen), files, quota)[0])
         result = accepted if result is None else result.unionByName(accepted)
     return result
 

@@ -30,11 +30,11 @@ def page_text(html: Column) -> Column:
 
 
 def scrape(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Add ``headline`` and ``body``."""
-    return pages.withColumns({
-        "headline": F.coalesce(page_title(F.col(html)), F.lit("")),
-        "body": page_text(F.col(html)),
-    })
+    """Add ``headline`` and ``body``, extracted once however often they are used later."""
+    found = F.struct(
+        F.coalesce(page_title(F.col(html)), F.lit("")).alias("headline"), page_text(F.col(html)).alias("body")
+    )
+    return pages.select("*", F.inline(F.array(found)))
 
 
 def long_enough(body: Column) -> Column:
