@@ -24,6 +24,8 @@ def model_topics(
     texts = articles.withColumn("_text", topic_text(F.col("cleaned_body"), F.col("headline")))
     narrow = texts.select("seq", "_text", *([embedding] if embedding else []))
     vectors = array_vectors(narrow, embedding) if embedding else tfidf_vectors(narrow, "_text")
+    # Fitting goes over the vectors many times: keep them, not the text they come from.
+    vectors = cut_lineage(vectors.select("seq", "vector"))
     ids = cut_lineage(assign_topics(vectors, k=k, min_topic_size=min_topic_size, seed=seed).select("seq", "topic_id"))
     joined = texts.join(ids, "seq")
     if len(ids.take(2)) < 2:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewire.session import tune
+from tidewire.sources.tables import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +15,10 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
+# Tables whose rows are costly to process: long texts and pages.
+TEXT_TABLES = ("documents", "pages")
+
+
 class Tables:
     """The tables of one data folder, by attribute."""
 
@@ -22,7 +27,8 @@ class Tables:
         self._folder = folder.rstrip("/")
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self._folder}/{name}.parquet")
+        table = self.spark.read.parquet(f"{self._folder}/{name}.parquet")
+        return spread(table) if name in TEXT_TABLES else table
 
     def sql(self, text: str, *names: str) -> DataFrame:
         """Run SQL over the named tables."""
