@@ -17,8 +17,9 @@ def t_two_sided(t: Column, df: Column) -> Column:
     Meant for one row per event, not for article rows.
     """
     half_pi = F.lit(1.5707963267948966)
-    start = F.atan(F.abs(t) / F.sqrt(df))
-    reach = F.lit(12.0) / F.sqrt(df)
+    root = F.when(df > 0, F.sqrt(df))
+    start = F.atan(F.abs(t) / root)
+    reach = F.lit(12.0) / root
 
     def integral(lo: Column, hi: Column) -> Column:
         width = (hi - lo) / F.lit(float(SIMPSON_STEPS))
@@ -34,21 +35,23 @@ def t_two_sided(t: Column, df: Column) -> Column:
 
     tail = integral(start, F.least(half_pi, start + reach))
     whole = integral(F.lit(0.0), F.least(half_pi, reach))
-    return F.least(tail / whole, F.lit(1.0))
+    # least() would skip a NULL, so an absent test is kept apart.
+    return F.when(t.isNotNull() & (df > 0), F.least(tail / whole, F.lit(1.0)))
 
 
 def welch(n1: Column, m1: Column, v1: Column, n2: Column, m2: Column, v2: Column):
     """t and degrees of freedom without assuming equal variances; NULL when both are zero."""
-    a, b = v1 / n1, v2 / n2
+    a, b = F.try_divide(v1, n1), F.try_divide(v2, n2)
     spread = F.when(a + b > 0, a + b)
     t = (m1 - m2) / F.sqrt(spread)
-    df = spread * spread / (a * a / (n1 - 1) + b * b / (n2 - 1))
-    return t, df
+    parts = F.try_divide(a * a, n1 - 1) + F.try_divide(b * b, n2 - 1)
+    return t, F.try_divide(spread * spread, parts)
 
 
 def student(n1: Column, m1: Column, v1: Column, n2: Column, m2: Column, v2: Column):
     """t and degrees of freedom with the pooled variance; NULL when it is zero."""
     df = (n1 + n2 - 2).cast("double")
-    pooled = ((n1 - 1) * v1 + (n2 - 1) * v2) / df
-    spread = F.when(pooled > 0, pooled * (F.lit(1.0) / n1 + F.lit(1.0) / n2))
+    pooled = F.try_divide((n1 - 1) * v1 + (n2 - 1) * v2, df)
+    per_row = F.try_divide(F.lit(1.0), n1) + F.try_divide(F.lit(1.0), n2)
+    spread = F.when(pooled > 0, pooled * per_row)
     return (m1 - m2) / F.sqrt(spread), df

@@ -71,7 +71,7 @@ def term_weights(df: DataFrame, topic: str, tokens: str) -> DataFrame:
         .groupBy("topic", "term").agg(F.count("*").alias("tf"))
     )
     overall = counts.groupBy("term").agg(F.sum("tf").alias("f"))
-    mean = counts.agg(F.sum("tf") / F.count_distinct("topic")).scalar()
+    mean = counts.agg(F.try_divide(F.sum("tf"), F.count_distinct("topic"))).scalar()
     weight = F.col("tf") * F.log1p(mean / F.col("f"))
     return counts.join(overall, "term").select("topic", "term", "tf", weight.alias("weight"))
 

@@ -22,8 +22,9 @@ def rounded(df, *columns: str, places: int = 6):
     return df.withColumns({c: F.round(c, places) for c in columns})
 
 
-# Two-sided tail of Student's t: the same integral, spelled over a list.
 def tail_sql(t: str, df: str) -> str:
+    """Two-sided tail of Student's t: the same integral, spelled over a list."""
+
     def integral(lo: str, hi: str) -> str:
         x = f"({lo} + i * (({hi}) - ({lo})) / 2000.0)"
         weight = "CASE WHEN i = 0 OR i = 2000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
@@ -32,7 +33,7 @@ def tail_sql(t: str, df: str) -> str:
 
     lo = f"atan(abs({t}) / sqrt({df}))"
     reach = f"12.0 / sqrt({df})"
-    return f"least({integral(lo, f'least(pi() / 2, {lo} + {reach})')} / {integral('0', f'least(pi() / 2, {reach})')}, 1.0)"
+    return f"CASE WHEN {t} IS NOT NULL THEN least({integral(lo, f'least(pi() / 2, {lo} + {reach})')} / {integral('0', f'least(pi() / 2, {reach})')}, 1.0) END"
 
 
 DAY_STATS = f"""(SELECT event_name, event_date,
