@@ -1,4 +1,4 @@
-"""Equi-join of many rows to one row per key, when a few keys hold most rows."""
+"""Joins whose small side is checked, and joins where a few keys hold most rows."""
 
 from __future__ import annotations
 
@@ -7,6 +7,17 @@ from pyspark.sql import functions as F
 
 MAX_HOT_KEYS = 10_000
 HOT_ROWS = 20_000
+MAX_BROADCAST_ROWS = 100_000
+
+
+def is_short(df: DataFrame) -> bool:
+    """Whether a narrow list has few enough rows to send to every executor; counts no further than that."""
+    return df.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS
+
+
+def short_side(df: DataFrame) -> DataFrame:
+    """``df`` with a broadcast hint if it is short; otherwise Spark joins it by shuffle."""
+    return F.broadcast(df) if is_short(df) else df
 
 
 def join_per_key(rows: DataFrame, lookup: DataFrame, key: str, size: str) -> DataFrame:

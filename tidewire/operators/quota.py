@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidewire.operators.hotkeys import is_short
+
 
 def files_before_target(counts: DataFrame, target: int, order: str = "file_no") -> DataFrame:
     """Files that are still read: those before which fewer than ``target`` rows were found.
@@ -29,5 +31,6 @@ def quota_by_file(rows: DataFrame, files: DataFrame, target: int, order: str = "
     found = rows.groupBy(order).agg(F.count("*").alias("n"))
     counts = files.join(found, order, "left").withColumn("n", F.coalesce("n", F.lit(0)))
     tried = files_before_target(counts, target, order)
-    accepted = rows.join(F.broadcast(tried.select(order)), order, "left_semi")
+    numbers = tried.select(order)
+    accepted = rows.join(F.broadcast(numbers) if is_short(files) else numbers, order, "left_semi")
     return accepted, tried

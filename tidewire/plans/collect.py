@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidewire import defaults
 from tidewire.operators.dedup import keep_first, not_stored
 from tidewire.operators.filters import is_web_url, mentions_either, mentions_joined
+from tidewire.operators.hotkeys import short_side
 from tidewire.operators.merge import cap_per_feed, merge_feeds
 from tidewire.operators.quota import quota_by_file
 from tidewire.session import cut_lineage
@@ -34,7 +35,7 @@ def collect_bulk(
     ``line_no``) and one row (total, files_tried).
     """
     relevant = lines.filter(is_web_url(F.col("url")) & mentions_joined(F.col("themes"), F.col("url"), keywords))
-    articles = to_articles(relevant.join(F.broadcast(slots), "slot"), *ORDER, scraped_at=scraped_at)
+    articles = to_articles(relevant.join(short_side(slots), "slot"), *ORDER, scraped_at=scraped_at)
     accepted, tried = quota_by_file(keep_first(articles, "url", *ORDER), slots, target)
     counts = tried.agg(F.sum("n").alias("total"), F.count("*").alias("files_tried"))
     return accepted, counts
@@ -59,7 +60,7 @@ def collect_windows(
     quota = target_total // max(len(names), 1)
     relevant = lines.filter(is_web_url(F.col("url")) & mentions_either(F.col("themes"), F.col("url"), keywords))
     listed = to_articles(
-        relevant.join(F.broadcast(slots), "slot"), "name", *ORDER, scraped_at=scraped_at, with_tone=False
+        relevant.join(short_side(slots), "slot"), "name", *ORDER, scraped_at=scraped_at, with_tone=False
     )
     candidates = cut_lineage(keep_first(listed, ["name", "url"], *ORDER))
     result = None

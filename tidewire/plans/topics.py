@@ -22,14 +22,14 @@ def model_topics(
     all ``Topic_-1``.
     """
     texts = articles.withColumn("_text", topic_text(F.col("cleaned_body"), F.col("headline")))
+    if len(texts.take(2)) < 2:
+        return label_topics(texts.withColumn("topic_id", F.lit(OUTLIER)), None).drop("_text")
     narrow = texts.select("seq", "_text", *([embedding] if embedding else []))
     vectors = array_vectors(narrow, embedding) if embedding else tfidf_vectors(narrow, "_text")
     # Fitting goes over the vectors many times: keep them, not the text they come from.
     vectors = cut_lineage(vectors.select("seq", "vector"))
     ids = cut_lineage(assign_topics(vectors, k=k, min_topic_size=min_topic_size, seed=seed).select("seq", "topic_id"))
     joined = texts.join(ids, "seq")
-    if len(ids.take(2)) < 2:
-        return label_topics(joined, None).drop("_text")
     terms = term_weights(joined.withColumn("_tokens", words(F.col("_text"))), "topic_id", "_tokens")
     labels = topic_labels(top_terms(terms))
     bare = ids.filter(F.col("topic_id") == OUTLIER).select(F.col("topic_id").alias("topic")).distinct()
