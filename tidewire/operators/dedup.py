@@ -18,10 +18,15 @@ def keep_first(df: DataFrame, key: str | list[str], *order: str) -> DataFrame:
     return df.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
 
 
-def not_stored(new: DataFrame, stored: DataFrame, key: str = "url") -> DataFrame:
+def not_stored(new: DataFrame, stored: DataFrame, key: str = "url", few_new: bool = False) -> DataFrame:
     """Rows of ``new`` whose key is not in ``stored``; a NULL key counts as new.
 
-    The stored side is reduced to its distinct keys; new rows with a repeated
-    key should be de-duplicated first (see ``keep_first``).
+    Pass ``few_new`` when the number of new rows is known to be small (see
+    ``is_short``): their keys are then sent to the stored rows, of which only
+    the matching ones go on, and the store itself is never shuffled. New rows
+    with a repeated key should be de-duplicated first (see ``keep_first``).
     """
-    return new.join(stored.select(key).filter(F.col(key).isNotNull()).distinct(), key, "left_anti")
+    known = stored.select(key).filter(F.col(key).isNotNull())
+    if few_new:
+        known = known.join(F.broadcast(new.select(key).distinct()), key, "left_semi")
+    return new.join(known.distinct(), key, "left_anti")

@@ -21,16 +21,16 @@ def cap_per_feed(df: DataFrame, caps: dict[str, int], feed: str = "feed", seq: s
     return ranked.filter(F.col("_rank") <= cap).drop("_rank")
 
 
-def new_from_feeds(stored: DataFrame, *feeds: DataFrame) -> DataFrame:
+def new_from_feeds(stored: DataFrame, *feeds: DataFrame, few_new: bool = False) -> DataFrame:
     """Rows of the feeds not stored yet, each URL once, earlier feeds first.
 
     A NULL URL is never stored as known, so one NULL row gets through.
     """
     ranked = [f.withColumn("feed_no", F.lit(i)) for i, f in enumerate(feeds)]
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), ranked)
-    return not_stored(keep_first(rows, "url", "feed_no", "seq"), stored)
+    return not_stored(keep_first(rows, "url", "feed_no", "seq"), stored, few_new=few_new)
 
 
-def merge_feeds(stored: DataFrame, *feeds: DataFrame) -> DataFrame:
+def merge_feeds(stored: DataFrame, *feeds: DataFrame, few_new: bool = False) -> DataFrame:
     """Stored rows followed by the new ones."""
-    return stored.unionByName(new_from_feeds(stored, *feeds).drop("feed_no"), allowMissingColumns=True)
+    return stored.unionByName(new_from_feeds(stored, *feeds, few_new=few_new).drop("feed_no"), allowMissingColumns=True)

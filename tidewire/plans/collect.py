@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from tidewire import defaults
 from tidewire.operators.dedup import keep_first, not_stored
 from tidewire.operators.filters import is_web_url, mentions_either, mentions_joined
-from tidewire.operators.hotkeys import short_side
-from tidewire.operators.merge import cap_per_feed, merge_feeds
+from tidewire.operators.hotkeys import MAX_BROADCAST_ROWS, is_short, short_side
+from tidewire.operators.merge import cap_per_feed, new_from_feeds
 from tidewire.operators.quota import quota_by_file
 from tidewire.session import cut_lineage
 from tidewire.sources.feeds import feed_a_records, feed_b_records
@@ -68,11 +68,18 @@ def collect_windows(
         in_window = candidates.filter(F.col("name") == name).withColumnRenamed("name", "window")
         seen = stored.select("url") if result is None else stored.select("url").unionByName(result.select("url"))
         files = slots.filter(F.col("name") == name).select("file_no", "slot")
-        accepted = cut_lineage(quota_by_file(not_stored(in_window, seen), files, quota)[0])
+        fresh = not_stored(in_window, seen, few_new=is_short(in_window))
+        accepted = cut_lineage(quota_by_file(fresh, files, quota)[0])
         result = accepted if result is None else result.unionByName(accepted)
     return result
 
 
+def pages_of(urls: DataFrame, pages: DataFrame, few: bool) -> DataFrame:
+    """(url, html) of the wanted pages. Few URLs are sent to the pages, so only matches are shuffled."""
+    html = pages.select("url", "html")
+    return html.join(F.broadcast(urls.distinct()), "url", "left_semi") if few else html
+
+
 def scrape_bodies(
     articles: DataFrame, pages: DataFrame, max_articles: int = 15_000, seq: str = "seq"
 ) -> tuple[DataFrame, DataFrame]:
@@ -82,7 +89,8 @@ def scrape_bodies(
     page or with a short text are left out and counted as failed.
     """
     first = articles.orderBy(seq).limit(max_articles).drop("headline", "body")
-    found = scrape(first.join(pages.select("url", "html"), "url", "left")).drop("html")
+    wanted = pages_of(first.select("url"), pages, few=max_articles <= MAX_BROADCAST_ROWS)
+    found = scrape(first.join(wanted, "url", "left")).drop("html")
     counts = found.agg(
         F.count_if(long_enough(F.col("body"))).alias("scraped"),
         F.count_if(~long_enough(F.col("body"))).alias("failed"),
@@ -107,8 +115,9 @@ def collect_feeds(
     b = feed_b_records(feed_b, "seq", scraped_at=scraped_at).withColumn("feed", F.lit("b"))
     a = cap_per_feed(a, {"a": 10 if sample else 250}).drop("feed")
     b = cap_per_feed(b, {"b": 10}).drop("feed")
-    bare = stored.select("url").withColumn("_stored", F.lit(True))
-    merged = merge_feeds(bare, a, b).filter("_stored IS NULL").drop("_stored")
-    bodies = pages.select("url", page_text(F.col("html")).alias("body"))
+    # The caps bound what is new to a few hundred rows.
+    merged = new_from_feeds(stored, a, b, few_new=True).drop("feed_no")
+    wanted = pages_of(merged.select("url"), pages, few=True)
+    bodies = wanted.select("url", page_text(F.col("html")).alias("body"))
     fresh = merged.join(bodies, "url", "left").withColumn("body", F.coalesce("body", F.lit("")))
     return stored.unionByName(fresh, allowMissingColumns=True)

@@ -11,7 +11,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidewire.operators.dedup import keep_first, not_stored
 from tidewire.operators.filters import is_web_url, mentions_either
+from tidewire.operators.hotkeys import is_short
 from tidewire.sources.gkg import article_columns, parse_lines
+from tidewire.session import cut_lineage
 
 LINE = T.StructType([T.StructField("value", T.StringType())])
 BATCH = "batch_id"
@@ -51,7 +53,9 @@ def ingest_stream(spark: SparkSession, src: str, dst: str, checkpoint: str, scra
         fresh = keep_first(batch, "url", "file", "published_at", "source", "themes")
         session = batch.sparkSession
         if _exists(session, dst):
-            fresh = not_stored(fresh, _earlier(session, dst, batch_id, batch.schema))
+            fresh = cut_lineage(fresh)
+            earlier = _earlier(session, dst, batch_id, batch.schema)
+            fresh = not_stored(fresh, earlier, few_new=is_short(fresh))
         fresh.write.mode("overwrite").parquet(f"{dst}/{BATCH}={batch_id}")
 
     articles = relevant_articles(line_stream(spark, src), scraped_at=scraped_at)
