@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.functions.text import clean_tokens, is_blank
+from tidewire.session import cut_lineage
 
 MODEL_INPUT_CHARS = 2000
 
@@ -68,6 +69,8 @@ def default_scorer(labelled: DataFrame, text: str, label: str, features: int = 1
     train = labelled.select(
         clean_tokens(model_input(F.col(text))).alias("tokens"), F.col(label).cast("double").alias("target")
     )
+    # Two estimators read the tokens, one of them many times: clean the texts once.
+    train = cut_lineage(train)
     stages = [
         HashingTF(inputCol="tokens", outputCol="tf", numFeatures=features),
         IDF(inputCol="tf", outputCol="features"),
