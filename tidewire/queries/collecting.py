@@ -362,7 +362,9 @@ def _(t):
 @query("lim3_window_quota", f"""{STG2} SELECT 'w0' AS "window", count(*) AS n FROM took0 UNION ALL SELECT 'w1', count(*) FROM took1
   UNION ALL SELECT 'w2', count(*) FROM took2""")
 def _(t):
-    return window_run(t).groupBy("window").agg(F.count("*").alias("n"))
+    names = slots(t).select(F.concat(F.lit("w"), F.floor(F.col("file_no") / 32).cast("string")).alias("window")).distinct()
+    counts = window_run(t).groupBy("window").agg(F.count("*").alias("n"))
+    return names.join(counts, "window", "left").na.fill(0, ["n"])
 
 
 @query("snk5_resume_adds_nothing", f"""{STG2} SELECT url FROM took0 UNION ALL SELECT url FROM took1 UNION ALL SELECT url FROM took2""")
