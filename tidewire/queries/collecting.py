@@ -46,7 +46,9 @@ def landed(t, marker: str | None = None) -> str:
     value = F.col("value")
     if marker:
         value = F.replace(value, F.lit(marker), F.unhex(F.lit("FF")).cast("string"))
-    feed_lines(t).select(value.alias("value"), F.col("file_no").alias("slot")).write.partitionBy("slot").text(path)
+    lines = feed_lines(t).select(value.alias("value"), F.col("file_no").alias("slot"))
+    # Gather the lines of a slot first, else every task would write a file for every slot.
+    lines.repartition("slot").write.partitionBy("slot").text(path)
     return path
 
 
