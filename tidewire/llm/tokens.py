@@ -9,54 +9,77 @@ encoding them again. The tests hold the result against whole texts.
 from __future__ import annotations
 
 import os
-import re
 from array import array
 
-MAX_WORDS = 600_000
-LONG_WORD = 64
+MAX_WORDS = 1_000_000
+LONG_WORD = 24  # longer words hardly ever come again
 MARKS = ".,;:!?"
-# A blank before another white space or before the end of the line: such lines are encoded whole.
-ODD_BLANK = re.compile(r" (?=\s|$)|^\s|\s\n|\n\s")
+# White space other than blank and line end, and two of these together: such texts are encoded whole.
+OTHER_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+DOUBLE = ("  ", " \n", "\n ", "\n\n")
+
+
+def is_odd(text: str) -> bool:
+    """Whether white space meets white space or an end of the text, or is of an unusual kind."""
+    return text[:1].isspace() or text[-1:].isspace() or any(d in text for d in DOUBLE) or any(c in text for c in OTHER_SPACE)
 
 
 class WordIds(dict):
     """Little-endian 32-bit ids of words, as bytes; forgets all words when it holds too many.
 
-    A mark after a letter is always a token of its own, so ``word,`` is looked
-    up as ``word`` and ``,``.
+    A word is stored without the blank before it; one that begins a line has
+    the line end in front. A mark after a letter is always a token of its own, so ``word,`` is
+    looked up as ``word`` and ``,``. Where case makes no difference, ASCII words share their lower-case form.
     """
 
-    def __init__(self, tokenizer, lead: str):
+    def __init__(self, tokenizer, lead: str, caseless: bool):
         super().__init__()
-        self.tokenizer, self.lead = tokenizer, lead
+        self.tokenizer, self.lead, self.caseless = tokenizer, lead, caseless
         self.marks = {m: self._encode(m) for m in MARKS}
+        self.newline = self._encode("\n")
 
     def _encode(self, word: str) -> bytes:
         return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
-    def _mark(self, word: str) -> bytes | None:
-        return self.marks.get(word[-1:]) if word[-2:-1].isalpha() else None
+    def core(self, word: str) -> str:
+        """The part of a word that has to be encoded."""
+        if word[-1:] in self.marks and word[-2:-1].isalpha():
+            word = word[:-1]
+        return word.lower() if self.caseless and word.isascii() else word
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= MAX_WORDS:
             self.clear()
-        mark = self._mark(word)
-        ids = self._encode(self.lead + word) if mark is None else self[word[:-1]] + mark
+        core = self.core(word)
+        if core == word:
+            ids = self.newline + self._encode(word[1:]) if word[:1] == "\n" else self._encode(self.lead + word)
+        else:
+            ids = self[core] + (self.marks[word[-1]] if len(core) < len(word) else b"")
         if len(word) <= LONG_WORD:
             self[word] = ids
         return ids
 
     def learn(self, words: set[str]) -> None:
-        """Encode the unknown ones of ``words`` together."""
-        new = {w if self._mark(w) is None else w[:-1] for w in words.difference(self)}
+        """Encode ``words``, none of which is known, together."""
+        new = set(map(self.core, words))
         if len(self) + 2 * len(new) > MAX_WORDS:
             self.clear()
-        new = [w for w in new if w not in self and len(w) <= LONG_WORD]
-        lead, step = self.lead, 2048
+        new = [w for w in new if w not in self and w[:1] != "\n"]
+        lead, step = self.lead, 4096
         for i in range(0, len(new), step):
             part = new[i : i + step]
-            for w, e in zip(part, self.tokenizer.encode_batch([lead + x for x in part], add_special_tokens=False), strict=True):
-                self[w] = array("I", e.ids).tobytes()
+            found = self.tokenizer.encode_batch([lead + x for x in part] if lead else part, add_special_tokens=False)
+            self.update(zip(part, [array("I", e.ids).tobytes() for e in found], strict=True))
+
+    def encode(self, texts: list[list[str]]) -> list[bytes]:
+        """The ids of texts given as words."""
+        found = [list(map(self.get, words)) for words in texts]
+        gaps = [[i for i, ids in enumerate(f) if ids is None] if None in f else () for f in found]
+        self.learn({w[i] for w, own in zip(texts, gaps, strict=True) for i in own})
+        for words, ids, own in zip(texts, found, gaps, strict=True):
+            for i in own:
+                ids[i] = self[words[i]]
+        return [b"".join(f) for f in found]
 
 
 class Encoder:
@@ -69,42 +92,20 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.spaced = self.whole("a b") != self.whole("a") + self.whole("b")
-        self.later = WordIds(self.tokenizer, " " if self.spaced else "")
-        self.first = WordIds(self.tokenizer, "")
-        self.newline = self.whole("\n")
+        self.ids = WordIds(self.tokenizer, " " if self.spaced else "", self.whole("Ab") == self.whole("ab"))
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Ids of each text."""
-        encode = self._spaced if self.spaced else self._plain
-        split = [t.split(" ") if not self.spaced else t.replace("\n", " \n ").split(" ") for t in texts]
-        known: set[str] = set()
-        for words in split:
-            known.update(words)
-        known.discard("")
-        known.discard("\n")
-        self.later.learn(known)
-        return [encode(t, w) for t, w in zip(texts, split, strict=True)]
-
-    def _plain(self, text: str, words: list[str]) -> bytes:
-        later = self.later
-        return b"".join([later[w] for w in words if w])
-
-    def _spaced(self, text: str, words: list[str]) -> bytes:
-        if not text:
-            return b""
-        if ODD_BLANK.search(text):
-            return self.whole(text)
-        later, first, out = self.later, self.first, []
-        for line in text.split("\n"):
-            if out:
-                out.append(self.newline)
-            head, *rest = line.split(" ")
-            out.append(first[head])
-            out.extend([later[w] for w in rest])
-        return b"".join(out)
+        if not self.spaced:
+            self.ids[""] = b""
+            return self.ids.encode([t.replace("\n", " ").split(" ") for t in texts])
+        odd = [not t or is_odd(t) for t in texts]
+        words = [[] if o else t.replace("\n", " \n").split(" ") for t, o in zip(texts, odd, strict=True)]
+        rest = self.ids.encode([w[1:] for w in words])
+        return [self.whole(t if o else w[0]) + r for t, o, w, r in zip(texts, odd, words, rest, strict=True)]
 
 
 _ENCODERS: dict[str, Encoder] = {}
