@@ -168,7 +168,7 @@ def write_token_files(
     folder = folder or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     parts = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(parts, "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
     end = np.uint32(end_id).tobytes()
 
     def write(batches):
