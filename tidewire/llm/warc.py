@@ -91,7 +91,7 @@ def write_archive(pages: DataFrame, page_id: str = "page_id", url: str = "url",
             yield out
 
     staged = map_rows(pages.select(F.col(page_id).cast("long"), F.col(url).cast("string"), F.col(html).cast("string")), stage, STAGED)
-    staged.write.parquet(f"{folder}/staged")
+    staged.write.option("compression", "zstd").parquet(f"{folder}/staged")
     staged = spark.read.parquet(f"{folder}/staged").withColumn("no", F.struct(F.col("_metadata.file_name"), F.col("_metadata.row_index")))
     # Each task has handed on a payload at most once, so few copies of one meet here; equal digests must mean equal bytes.
     first = staged.filter("payload IS NOT NULL").select("sha256", "sha1", "payload_bytes", "payload")
@@ -110,7 +110,7 @@ def write_archive(pages: DataFrame, page_id: str = "page_id", url: str = "url",
                     last, kept = row[0], row[3]
             yield [list(c) for c in zip(*fresh, strict=True)] if fresh else [[], [], [], []]
 
-    map_rows(dealt, store, "sha256 binary, sha1 string, payload_bytes long, payload binary").write.parquet(f"{folder}/payloads")
+    map_rows(dealt, store, "sha256 binary, sha1 string, payload_bytes long, payload binary").write.option("compression", "zstd").parquet(f"{folder}/payloads")
     rank = F.struct(F.col("page_id").isNull(), F.col("page_id"), F.col("no"))
     owners = staged.groupBy("sha256").agg(F.min(rank).alias("owner"))
     narrow = staged.select("page_id", "url", "sha256", "sha1", "payload_bytes", "no").join(owners, "sha256")
