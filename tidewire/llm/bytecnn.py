@@ -27,11 +27,14 @@ THRESHOLD = 0.5
 
 
 def lay_out(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes of all texts, hops of each): every text padded with zeros to whole hops, two at least, and past the last filter."""
+    """(bytes of all texts, hops of each): every text padded with zeros to whole hops, two at least.
+
+    One more hop of zeros follows each text, so that no filter sees two texts.
+    """
     parts, hops = [], []
     for text in texts:
         raw = (text or "").encode("utf-8", "replace")
-        n = max(2, -(-(len(raw) + WIDTH) // HOP))
+        n = max(2, -(-(len(raw) + WIDTH) // HOP)) + 1
         parts += [raw, bytes(n * HOP - len(raw))]
         hops.append(n)
     return np.frombuffer(b"".join(parts) + bytes(WIDTH), np.uint8), np.array(hops)
@@ -71,10 +74,10 @@ class Net:
     def chunks(self, peaks: np.ndarray, hops: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(values of all chunks, first chunk of each text, first hop of each chunk)."""
         firsts = np.concatenate([[0], np.cumsum(hops)[:-1]])
-        ends = np.zeros(len(peaks), bool)
-        ends[firsts + hops - 1] = True
-        hop = np.flatnonzero(~ends)
-        return np.tanh(np.maximum(peaks[hop], peaks[hop + 1])), firsts - np.arange(len(hops)), hop
+        starts = np.ones(len(peaks), bool)
+        starts[firsts + hops - 1] = starts[firsts + hops - 2] = False
+        hop = np.flatnonzero(starts)
+        return np.tanh(np.maximum(peaks[hop], peaks[hop + 1])), firsts - 2 * np.arange(len(hops)), hop
 
     def pooled(self, values: np.ndarray, firsts: np.ndarray) -> np.ndarray:
         count = np.diff(np.append(firsts, len(values)))[:, None]

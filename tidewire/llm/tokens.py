@@ -25,7 +25,7 @@ def is_odd(text: str) -> bool:
 
 
 class WordIds(dict):
-    """Little-endian 32-bit ids of words, as bytes; forgets all words when it holds too many.
+    """Little-endian 32-bit ids of words, as bytes; holds at most ``MAX_WORDS`` and the new ones of one call, then forgets all.
 
     A word is stored without the blank before it; one that begins a line has
     the line end in front. A mark after a letter is always a token of its own, so ``word,`` is
