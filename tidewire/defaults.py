@@ -75,6 +75,16 @@ LEMMAS = {
     "crises": "crisis", "analyses": "analysis", "theses": "thesis", "bases": "basis",
     "criteria": "criterion", "phenomena": "phenomenon", "oxen": "ox", "series": "series",
     "species": "species", "news": "news", "movies": "movie", "ties": "tie", "pies": "pie",
+} | {
+    # Words in -s that are no plurals, or have no singular of the same meaning.
+    word: word for word in (
+        "politics economics physics mathematics statistics ethics athletics mechanics electronics dynamics logistics genetics "
+        "robotics analytics metrics olympics graphics classics tactics "
+        "always perhaps sometimes towards besides afterwards whereas nowadays indeed "
+        "texas christmas paris james charles jones thomas kansas arkansas illinois massachusetts los wales athens brussels naples "
+        "lens headquarters means gas alias canvas chaos atlas bias christ pants scissors trousers goods thanks congratulations "
+        "was has does his its this as yes us plus".split()
+    )
 }
 
 # Named character references understood when unescaping HTML.

@@ -10,19 +10,25 @@ from pyspark.sql import functions as F
 # Accepted besides ISO 8601; anything else counts as unparseable.
 DATE_FORMATS = (
     "yyyyMMdd'T'HHmmssX",
+    "yyyyMMdd'T'HHmmss",
     "yyyyMMddHHmmss",
     "yyyyMMdd",
-    "yyyy/MM/dd",
+    "yyyy/M/d",
+    "yyyy-M-d",
     "d MMM yyyy HH:mm:ss Z",
     "MMM d, yyyy",
+    "MMMM d, yyyy",
+    "d MMM yyyy",
+    "d MMMM yyyy",
 )
 _ISO = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([T ].*)?$"
 _WEEKDAY = r"^(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun), "
+_ZONE = r" (?:GMT|UTC|UT|Z)$"
 
 
 def parse_timestamp(c: Column, formats: Sequence[str] = DATE_FORMATS) -> Column:
     """Instant named by ``c``, read as UTC unless it carries an offset; NULL if none fits."""
-    text = F.regexp_replace(F.trim(c), _WEEKDAY, "")
+    text = F.regexp_replace(F.regexp_replace(F.trim(c), _WEEKDAY, ""), _ZONE, " +0000")
     tries = [F.when(text.rlike(_ISO), text.try_cast("timestamp"))]
     tries += [F.try_to_timestamp(text, F.lit(f)) for f in formats]
     return F.coalesce(*tries)

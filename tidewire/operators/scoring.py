@@ -44,17 +44,15 @@ def batch_label_score(text: Column, make_scorer: Callable[[], BatchScorer]) -> C
                 return (None, None)
 
         for batch in batches:
-            out = pd.DataFrame({"label": [None] * len(batch), "score": [None] * len(batch)}, dtype=object)
-            at = batch.notna().to_numpy().nonzero()[0]
-            texts = batch.iloc[at].tolist()
-            if texts:
-                try:
-                    results = scorer(texts)
-                except Exception:
-                    results = [one(t) for t in texts]
-                for i, (label, value) in zip(at, results, strict=True):
-                    out.iat[i, 0], out.iat[i, 1] = label, value
-            yield out.astype({"score": "float64"})
+            known = batch.notna().tolist()
+            texts = batch[known].tolist()
+            try:
+                results = scorer(texts) if texts else []
+            except Exception:
+                results = [one(t) for t in texts]
+            found = iter(results)
+            pairs = [next(found) if k else (None, None) for k in known]
+            yield pd.DataFrame({"label": [p[0] for p in pairs], "score": pd.Series([p[1] for p in pairs], dtype="float64")})
 
     return score(text)
 

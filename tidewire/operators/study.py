@@ -83,8 +83,9 @@ def window_stats_days(articles: DataFrame, events: DataFrame, days: int = 7) ->
     reduced to one row per day before they meet the events, so the join is
     between two short tables however many articles or events there are.
     """
-    dated = articles.withColumnRenamed("published_date", "day")
-    around = event_days(events.select(*EVENT_KEYS).distinct(), days).join(daily_moments(dated, "day"), "day")
+    wanted = event_days(events.select(*EVENT_KEYS).distinct(), days)
+    dated = articles.withColumnRenamed("published_date", "day").join(wanted.select("day"), "day", "left_semi")
+    around = wanted.join(daily_moments(dated, "day"), "day")
     return _per_event(events, _merge_moments(around, DAY_SIDES), DAY_SIDES)
 
 
@@ -114,32 +115,32 @@ def named_events(events: DataFrame) -> DataFrame:
 def window_stats_instants(articles: DataFrame, events: DataFrame, days: int = 7) -> DataFrame:
     """One row per event over the half-open windows [p - days, p) and [p, p + days).
 
-    Counted from the event's time of day, both windows are whole days. Articles
-    are therefore reduced to one row per shifted day, once for each time of day
-    among the events (just midnight when events are dates), and the join is
-    again between two short tables.
+    Counted from the event's time of day, both windows are whole days. Each
+    such shifted day lies in at most two calendar days. Articles meet only the
+    shifted days that some window needs, by their calendar day, and are reduced
+    to one row for each; the last join is again between two short tables.
     """
     pivot = F.unix_micros(parse_timestamp(F.col("event_date")))
     pivots = events.select(*EVENT_KEYS).distinct().withColumns({
         "clock": F.pmod(pivot, F.lit(DAY_MICROS)),
         "day0": F.floor(pivot / DAY_MICROS),
     }).filter("day0 IS NOT NULL")
-    clocks = [r[0] for r in pivots.select("clock").distinct().collect()] or [0]
 
     instant = F.col("published_at")
     if dict(articles.dtypes)["published_at"] == "string":
         instant = parse_timestamp(instant)
     micros = F.unix_micros(instant.cast("timestamp"))
-    shifted = articles.select(
-        "sentiment_score", micros.alias("micros"), F.explode(F.array(*[F.lit(c).cast("long") for c in clocks])).alias("clock")
-    ).withColumn("day", F.floor((F.col("micros") - F.col("clock")) / DAY_MICROS))
-    moments = daily_moments(shifted.filter("day IS NOT NULL"), "clock", "day")
+    dated = articles.select("sentiment_score", micros.alias("micros"), F.floor(micros / DAY_MICROS).alias("calendar_day"))
 
     offset = F.explode(F.sequence(F.lit(-days), F.lit(days - 1)))
     around = pivots.withColumn("offset", offset).select(
         *EVENT_KEYS, "clock", (F.col("day0") + F.col("offset")).alias("day"),
         F.when(F.col("offset") < 0, "before").otherwise("after").alias("side"),
     )
+    calendar = F.when(F.col("clock") == 0, F.array("day")).otherwise(F.array("day", F.col("day") + 1))
+    wanted = around.select("clock", "day").distinct().withColumn("calendar_day", F.explode(calendar))
+    inside = F.floor((F.col("micros") - F.col("clock")) / DAY_MICROS) == F.col("day")
+    moments = daily_moments(dated.join(wanted, "calendar_day").filter(inside), "clock", "day")
     return _per_event(events, _merge_moments(around.join(moments, ["clock", "day"]), INSTANT_SIDES), INSTANT_SIDES)
 
 

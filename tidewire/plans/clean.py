@@ -19,12 +19,16 @@ SHORT_BODY_WORDS = 50
 
 
 def article_keys(raw: DataFrame, formats: Sequence[str] = DATE_FORMATS) -> DataFrame:
-    """Narrow facts about each article that all later decisions need, in one pass without a shuffle."""
+    """Narrow facts about each article that all later decisions need, in one pass without a shuffle.
+
+    An unreadable date becomes NULL, an empty one stays empty.
+    """
     body = F.coalesce("body", F.lit(""))
+    date = F.col("published_at")
     return raw.select(
         "seq",
         normalize_url(F.col("url")).alias("url"),
-        normalize_date(F.col("published_at"), formats).alias("published_at"),
+        F.when(date == "", date).otherwise(normalize_date(date, formats)).alias("published_at"),
         (word_count(body) < SHORT_BODY_WORDS).alias("short"),
         F.when(body != "", band_keys(minhash_signature(body))).alias("bands"),
     )
@@ -39,7 +43,7 @@ def quality_report(initial: DataFrame, url_pass: DataFrame, kept: DataFrame) ->
     """One row with the six counters. Articles without a body are in none of the duplicate counts."""
     passed = url_pass.agg(
         F.count("*").alias("passed"),
-        F.count_if(F.col("published_at").isNull()).alias("invalid_dates"),
+        F.count_if(F.coalesce("published_at", F.lit("")) == "").alias("invalid_dates"),
         F.count_if("short").alias("short_bodies"),
         F.count("bands").alias("with_body"),
     )

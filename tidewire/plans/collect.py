@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -81,15 +81,16 @@ def pages_of(urls: DataFrame, pages: DataFrame, few: bool) -> DataFrame:
 
 
 def scrape_bodies(
-    articles: DataFrame, pages: DataFrame, max_articles: int = 15_000, seq: str = "seq"
+    articles: DataFrame, pages: DataFrame, max_articles: int | None = 15_000, seq: str = "seq"
 ) -> tuple[DataFrame, DataFrame]:
-    """Headline and body from landed pages for the first ``max_articles`` articles.
+    """Headline and body from landed pages for the first ``max_articles`` articles, or for all if it is None.
 
     ``articles`` has each URL once; ``pages`` is (url, html). Articles without a
     page or with a short text are left out and counted as failed.
     """
-    first = articles.orderBy(seq).limit(max_articles).drop("headline", "body")
-    wanted = pages_of(first.select("url"), pages, few=max_articles <= MAX_BROADCAST_ROWS)
+    first = articles if max_articles is None else articles.orderBy(seq).limit(max_articles)
+    first = first.drop("headline", "body")
+    wanted = pages_of(first.select("url"), pages, few=max_articles is not None and max_articles <= MAX_BROADCAST_ROWS)
     found = scrape(first.join(wanted, "url", "left")).drop("html")
     counts = found.agg(
         F.count_if(long_enough(F.col("body"))).alias("scraped"),
@@ -103,21 +104,21 @@ def collect_feeds(
     feed_a: DataFrame,
     feed_b: DataFrame,
     pages: DataFrame,
-    sample: bool = False,
+    caps: Mapping[str, int] | None = None,
     scraped_at: Column | None = None,
 ) -> DataFrame:
     """Stored articles plus the new ones of both feeds, with their bodies.
 
-    ``feed_a`` and ``feed_b`` are listed articles with ``seq``. The caps are
-    those the feeds are asked with.
+    ``feed_a`` and ``feed_b`` are listed articles with ``seq``. ``caps`` limits
+    the articles taken of feed ``a`` and ``b``; without it all landed ones are.
     """
     a = feed_a_records(feed_a, "seq", scraped_at=scraped_at).withColumn("feed", F.lit("a"))
     b = feed_b_records(feed_b, "seq", scraped_at=scraped_at).withColumn("feed", F.lit("b"))
-    a = cap_per_feed(a, {"a": 10 if sample else 250}).drop("feed")
-    b = cap_per_feed(b, {"b": 10}).drop("feed")
-    # The caps bound what is new to a few hundred rows.
-    merged = new_from_feeds(stored, a, b, few_new=True).drop("feed_no")
-    wanted = pages_of(merged.select("url"), pages, few=True)
+    if caps is not None:
+        a, b = cap_per_feed(a, {"a": caps["a"]}), cap_per_feed(b, {"b": caps["b"]})
+    few = caps is not None and sum(caps.values()) <= MAX_BROADCAST_ROWS
+    merged = new_from_feeds(stored, a.drop("feed"), b.drop("feed"), few_new=few).drop("feed_no")
+    wanted = pages_of(merged.select("url"), pages, few=few)
     bodies = wanted.select("url", page_text(F.col("html")).alias("body"))
     fresh = merged.join(bodies, "url", "left").withColumn("body", F.coalesce("body", F.lit("")))
     return stored.unionByName(fresh, allowMissingColumns=True)

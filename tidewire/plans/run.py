@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewire import defaults
+from tidewire.functions.dates import DATE_FORMATS
 from tidewire.plans.clean import clean_articles
 from tidewire.plans.collect import collect_bulk, scrape_bodies
 from tidewire.plans.export import analysis_tables, export_csv, export_tables, instant_analysis
@@ -16,6 +18,7 @@ from tidewire.session import tune
 from tidewire.sinks.writers import write_articles, write_report
 from tidewire.sources.tables import define_events
 
+MANY = (1 << 63) - 1
 STAGES = ("collect", "clean", "nlp", "topic", "export")
 
 
@@ -30,13 +33,22 @@ def run_stages(
     scorer=None,
     events: DataFrame | None = None,
     k: int = 20,
+    min_topic_size: int = 2,
+    target: int | None = None,
+    max_articles: int | None = None,
+    keywords: Sequence[str] = defaults.BULK_KEYWORDS,
+    formats: Sequence[str] = DATE_FORMATS,
+    lexicon: Mapping[str, float] = defaults.LEXICON,
+    stopwords: Sequence[str] = defaults.STOPWORDS,
+    lemmas: Mapping[str, str] = defaults.LEMMAS,
     database: str = "default",
 ) -> dict[str, dict]:
     """Run ``stages`` in order; each reads what the one before wrote below ``root``.
 
     ``root`` is a shared folder. Collection needs ``lines`` (parsed feed lines
-    with ``slot`` and ``line_no``), ``slots`` and ``pages``. Returns the
-    counters of the stages that have some.
+    with ``slot`` and ``line_no``), ``slots`` and ``pages``; ``target`` and
+    ``max_articles`` stop it early, None takes all. The bundled ``lexicon`` is a
+    starter set. Returns the counters of the stages that have some.
     """
     tune(spark)
     chosen = set(stages)
@@ -47,23 +59,24 @@ def run_stages(
     counters: dict[str, dict] = {}
 
     if "collect" in chosen:
-        urls, counts = collect_bulk(lines, slots)
+        urls, counts = collect_bulk(lines, slots, MANY if target is None else target, keywords)
         # The order of arrival becomes one number that later stages keep.
         seq = F.col("file_no").cast("long") * F.lit(1 << 40) + F.col("line_no")
         write_articles(urls.withColumn("seq", seq).drop("file_no", "line_no"), at("article_urls"))
         counters["collect"] = counts.first().asDict()
-        found, scraped = scrape_bodies(spark.read.parquet(at("article_urls")), pages)
+        found, scraped = scrape_bodies(spark.read.parquet(at("article_urls")), pages, max_articles)
         write_articles(found, at("articles"))
         counters["scrape"] = scraped.first().asDict()
     if "clean" in chosen:
-        cleaned, report = clean_articles(spark.read.parquet(at("articles")))
+        cleaned, report = clean_articles(spark.read.parquet(at("articles")), formats)
         write_articles(cleaned, at("articles_cleaned"))
         write_report(report, at("data_quality_report"))
         counters["clean"] = report.first().asDict()
     if "nlp" in chosen:
-        write_articles(score_articles(spark.read.parquet(at("articles_cleaned")), scorer), at("articles_nlp"))
+        scored = score_articles(spark.read.parquet(at("articles_cleaned")), scorer, lexicon, stopwords, lemmas)
+        write_articles(scored, at("articles_nlp"))
     if "topic" in chosen:
-        write_articles(model_topics(spark.read.parquet(at("articles_nlp")), k=k), at("articles_topic"))
+        write_articles(model_topics(spark.read.parquet(at("articles_nlp")), k=k, min_topic_size=min_topic_size), at("articles_topic"))
     if "export" in chosen:
         articles = spark.read.parquet(at("articles_topic"))
         anchors = define_events(spark) if events is None else events

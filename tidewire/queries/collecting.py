@@ -226,9 +226,13 @@ def _(t):
     return writers.existing_columns(scored_rows(articles(t)))
 
 
-@query("prj8_ingest_stamp")
+@query("prj8_ingest_stamp", f"SELECT line_no, true AS well_formed, true AS recent FROM ({PARSED})")
 def _(t):
-    return gkg.to_articles(parsed_feed(t), "line_no").select("line_no", "scrape_at")
+    """The stamp differs from run to run: its form and its distance from now are checked."""
+    stamped = gkg.to_articles(parsed_feed(t), "line_no").select("line_no", "scrape_at")
+    away = F.abs(F.unix_timestamp(F.current_timestamp()) - F.unix_timestamp(F.col("scrape_at").try_cast("timestamp")))
+    form = r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d"
+    return stamped.select("line_no", F.col("scrape_at").rlike(form).alias("well_formed"), (away < 3600).alias("recent"))
 
 
 @query("scl3_feed_date", f"""SELECT line_no, CASE WHEN try_strptime(left(date, 8), '%Y%m%d') IS NOT NULL
@@ -450,7 +454,7 @@ def _(t):
     a = feeds.feed_a_articles(answers_a(t)).withColumn("seq", 2 * F.col("page_id") + F.col("pos"))
     b = feeds.feed_b_articles(answers_b(t)).withColumn("seq", F.col("page_id"))
     stored = t.pages.filter(F.contains("url", F.lit("/es/"))).select("url")
-    merged = collect.collect_feeds(stored, a, b, dedup.keep_first(t.pages, "url", "page_id"), scraped_at=stamp())
+    merged = collect.collect_feeds(stored, a, b, dedup.keep_first(t.pages, "url", "page_id"), caps=CAPS, scraped_at=stamp())
     return merged.select("url", "source", "headline", F.md5("body").alias("digest"))
 
 

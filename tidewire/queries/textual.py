@@ -167,22 +167,21 @@ def _(t):
 def _scored_docs(t):
     model = scores.signed_label_score(F.col("label"), F.col("score"))
     guesses = t.sql(GUESSES, "labels").select("doc_id", model.alias("model"))
-    return t.documents.join(guesses, "doc_id").withColumn("words20", F.array_join(F.slice(text.words(F.col("text")), 1, 10 + F.col("doc_id").cast("int") % 20), " "))
+    return t.documents.join(guesses, "doc_id")
 
 
-WORDS20 = f"""(SELECT d.doc_id, model, array_to_string(list_slice({S.words('text')}, 1, 10 + d.doc_id % 20), ' ') AS words20
-  FROM documents d JOIN {SIGNED} s ON d.doc_id = s.doc_id)"""
+GUESSED = f"""(SELECT d.doc_id, model, text FROM documents d JOIN {SIGNED} s ON d.doc_id = s.doc_id)"""
 
 
-@query("flt14_model_score_counts", f"SELECT doc_id, {S.word_count('words20')} >= 20 AND abs(model) > 0.001 AS counts FROM {WORDS20}")
+@query("flt14_model_score_counts", f"SELECT doc_id, {S.word_count('text')} >= 20 AND abs(model) > 0.001 AS counts FROM {GUESSED}")
 def _(t):
-    return _scored_docs(t).select("doc_id", scores.model_score_counts(F.col("words20"), F.col("model")).alias("counts"))
+    return _scored_docs(t).select("doc_id", scores.model_score_counts(F.col("text"), F.col("model")).alias("counts"))
 
 
-@query("scl21_composite_score", f"""SELECT doc_id, CASE WHEN {S.word_count('words20')} >= 20 AND abs(model) > 0.001
-  THEN model ELSE 0.25::DOUBLE END AS sentiment FROM {WORDS20}""")
+@query("scl21_composite_score", f"""SELECT doc_id, CASE WHEN {S.word_count('text')} >= 20 AND abs(model) > 0.001
+  THEN model ELSE 0.25::DOUBLE END AS sentiment FROM {GUESSED}""")
 def _(t):
-    final = scores.composite_score(F.col("words20"), F.col("model"), F.lit(0.25))
+    final = scores.composite_score(F.col("text"), F.col("model"), F.lit(0.25))
     return _scored_docs(t).select("doc_id", final.alias("sentiment"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,6 +17,7 @@ from tidewire.functions.fields import or_missing, parse_tone, strip_stringify, s
 # Position of each field that is kept.
 FIELDS = {"date": 0, "source": 3, "url": 4, "themes": 7, "tone_csv": 15}
 LINES_PER_BATCH = 20_000
+READ_BYTES = 1 << 20
 
 
 def parse_lines(lines: DataFrame, value: str = "value") -> DataFrame:
@@ -44,7 +46,7 @@ def unzip_lines(archives: DataFrame) -> DataFrame:
     """(path, line_no, value): lines of the first entry of each archive, one archive at a time.
 
     ``archives`` is (path, content) as read by ``binaryFile``. Lines leave in
-    batches. An archive that cannot be opened yields no lines.
+    batches. An archive that cannot be read to its end yields no lines.
     """
 
     def lines_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -52,8 +54,11 @@ def unzip_lines(archives: DataFrame) -> DataFrame:
             for path, content in zip(batch["path"], batch["content"], strict=True):
                 try:
                     archive = zipfile.ZipFile(io.BytesIO(content))
+                    with archive.open(archive.namelist()[0]) as entry:
+                        while entry.read(READ_BYTES):  # its checksum is only known at the end
+                            pass
                     entry = archive.open(archive.namelist()[0])
-                except (zipfile.BadZipFile, IndexError):
+                except (zipfile.BadZipFile, zlib.error, IndexError, EOFError, RuntimeError, NotImplementedError, OSError):
                     continue
                 buffer: list[str] = []
                 start = 0
@@ -61,20 +66,19 @@ def unzip_lines(archives: DataFrame) -> DataFrame:
                     for line in text:
                         buffer.append(line.rstrip("\r\n"))
                         if len(buffer) == LINES_PER_BATCH:
-                            yield _frame(path, start, buffer)
+                            yield frame(path, start, buffer)
                             start, buffer = start + len(buffer), []
                 if buffer:
-                    yield _frame(path, start, buffer)
+                    yield frame(path, start, buffer)
+
+    def frame(path: str, start: int, lines: list[str]) -> pd.DataFrame:
+        return pd.DataFrame({"path": path, "line_no": range(start, start + len(lines)), "value": lines})
 
     return archives.select("path", "content").mapInPandas(
         lines_of, "path string, line_no long, value string"
     )
 
 
-def _frame(path: str, start: int, lines: list[str]) -> pd.DataFrame:
-    return pd.DataFrame({"path": path, "line_no": range(start, start + len(lines)), "value": lines})
-
-
 def read_zipped_gkg(spark: SparkSession, path: str) -> DataFrame:
     """Fields of zipped feed files; one task per group of archives, since zip cannot be split."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path)

@@ -16,16 +16,6 @@ def read_articles_json(
     return spark.read.schema(schema).option("multiLine", array).json(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for a table that comes in fewer splits than there are cores.
-
-    Parsing text costs far more than moving such a small table once. A table
-    of many splits is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def read_table(spark: SparkSession, name: str) -> DataFrame:
     return spark.table(name)
 
