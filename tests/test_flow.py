@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewire import session
 from tidewire.operators import topics
+from tidewire.plans.collect import MANY, collect_bulk, collect_landed
 from tidewire.plans.nlp import score_articles
 from tidewire.plans.run import run_stages
 from tidewire.plans.topics import model_topics
@@ -50,6 +51,63 @@ def test_zipped_files(spark, tmp_path):
     assert {(r["line_no"], r["url"]) for r in rows} == {(0, "http://a1"), (1, "http://a2"), (0, "http://b1")}
 
 
+@pytest.mark.parametrize("zipped", [False, True])
+def test_only_listed_slots_are_read(spark, tmp_path, zipped):
+    end = ".gkg.csv.zip" if zipped else ".gkg.csv"
+    for i, name in enumerate(("20240805101500", "20240805100000", "20240805094500")):
+        text = "\n".join([line(f"http://{i}a"), "", line(f"http://{i}b"), line(f"http://{i}c")])
+        if zipped:
+            with zipfile.ZipFile(tmp_path / f"{name}{end}", "w") as z:
+                z.writestr("first.csv", text)
+        else:
+            (tmp_path / f"{name}{end}").write_text(text)
+    listed = spark.createDataFrame([(0, "20240805101500"), (1, "20240805094500"), (2, "20240805093000")], "file_no int, slot string")
+    rows = gkg.read_slots(spark, str(tmp_path), listed, "{slot}" + end)
+    assert {f.rsplit("/", 1)[1][:14] for f in rows.inputFiles()} == {"20240805101500", "20240805094500"}
+    got = [(r["slot"], r["url"]) for r in rows.orderBy("slot", "line_no").collect()]
+    assert got == [("20240805094500", f"http://2{c}") for c in "abc"] + [("20240805101500", f"http://0{c}") for c in "abc"]
+    assert gkg.read_slots(spark, str(tmp_path), listed.filter("file_no = 2"), "{slot}" + end).count() == 0
+    assert gkg.read_slots(spark, str(tmp_path), listed.limit(0), "{slot}" + end).count() == 0
+
+
+def test_line_numbers_grow_over_splits(spark, tmp_path):
+    (tmp_path / "s1.csv").write_text("\n".join(line(f"http://{i}") for i in range(3000)))
+    (tmp_path / "s2.csv").write_text(line("http://x"))
+    listed = spark.createDataFrame([(0, "s1"), (1, "s2")], "file_no int, slot string")
+    for option, value in (("maxPartitionBytes", "9000"), ("openCostInBytes", "1")):
+        spark.conf.set(f"spark.sql.files.{option}", value)
+    try:
+        rows = gkg.read_slots(spark, str(tmp_path), listed, "{slot}.csv").filter("slot = 's1'")
+        assert rows.rdd.getNumPartitions() > 8
+        assert [r["url"] for r in rows.orderBy("line_no").collect()] == [f"http://{i}" for i in range(3000)]
+    finally:
+        for option in ("maxPartitionBytes", "openCostInBytes"):
+            spark.conf.unset(f"spark.sql.files.{option}")
+
+
+@pytest.mark.parametrize("target", [None, 1, 5, 9, 1000])
+def test_groups_of_slots_equal_one_read(spark, tmp_path, target):
+    for i in range(7):
+        urls = [f"http://{(i * 3 + j) % 11}" for j in range(4)]
+        (tmp_path / f"s{i}.csv").write_text("\n".join(line(u) for u in urls))
+    listed = spark.createDataFrame([(i, f"s{i}") for i in range(9)], "file_no int, slot string")
+    got, counts = collect_landed(spark, str(tmp_path), listed, target, layout="{slot}.csv", first_group=2)
+    lines = gkg.read_slots(spark, str(tmp_path), listed, "{slot}.csv")
+    whole, counted = collect_bulk(lines, listed, MANY if target is None else target)
+    pick = lambda df: sorted((r["url"], r["file_no"]) for r in df.collect())
+    assert pick(got) == pick(whole) and counts.first().asDict() == counted.first().asDict()
+    none, zero = collect_landed(spark, str(tmp_path), listed.limit(0), target, layout="{slot}.csv")
+    assert none.count() == 0 and zero.first()["files_tried"] == 0
+
+
+def test_topics_do_not_shuffle_bodies(spark):
+    docs = spark.createDataFrame([(i, "tax vote" if i % 2 else "rain storm", "") for i in range(40)], "seq long, cleaned_body string, headline string")
+    rows = model_topics(docs.withColumn("body", F.lit("long")), k=2)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+    assert {r["topic"].split("_", 2)[2] for r in rows.collect()} == {"rain_storm", "tax_vote"}
+
+
 def test_slots(spark):
     now = spark.createDataFrame([(datetime(2024, 8, 5, 10, 20, 30),)], "now timestamp")
     got = [r["slot"] for r in slots.recent_slots(now, F.col("now"), 3).orderBy("file_no").collect()]

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import KMeans
+from collections.abc import Callable
+
+from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import IDF, HashingTF, Normalizer
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
@@ -10,6 +12,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewire.functions.text import is_blank, words
+from tidewire.operators.hotkeys import join_per_key
+from tidewire.session import cut_lineage
 
 OUTLIER = -1
 
@@ -19,30 +23,62 @@ def topic_text(cleaned: Column, headline: Column) -> Column:
     return F.when(~is_blank(cleaned), cleaned).otherwise(F.coalesce(headline, F.lit("")))
 
 
+def fit_tfidf(df: DataFrame, text: str, features: int = 1 << 12, out: str = "vector") -> Callable[[DataFrame], DataFrame]:
+    """A function that adds ``out``, hashed TF-IDF of unit length, in a map-side pass. One pass of counts is fitted."""
+    hashed = HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=features)
+    unit = Normalizer(inputCol="_tfidf", outputCol=out)
+
+    def counted(rows: DataFrame) -> DataFrame:
+        return hashed.transform(rows.withColumn("_tokens", words(F.col(text))))
+
+    scale = IDF(inputCol="_tf", outputCol="_tfidf").fit(counted(df))
+    return lambda rows: unit.transform(scale.transform(counted(rows))).drop("_tokens", "_tf", "_tfidf")
+
+
 def tfidf_vectors(df: DataFrame, text: str, features: int = 1 << 12) -> DataFrame:
-    """Add ``vector``: hashed TF-IDF of unit length. Nothing but one pass of counts is fitted."""
-    tokens = df.withColumn("_tokens", words(F.col(text)))
-    tf = HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=features).transform(tokens)
-    scaled = IDF(inputCol="_tf", outputCol="_tfidf").fit(tf).transform(tf)
-    unit = Normalizer(inputCol="_tfidf", outputCol="vector").transform(scaled)
-    return unit.drop("_tokens", "_tf", "_tfidf")
+    """Add ``vector``: hashed TF-IDF of unit length, fitted on ``df`` itself."""
+    return fit_tfidf(df, text, features)(df)
 
 
-def array_vectors(df: DataFrame, array: str) -> DataFrame:
-    """Add ``vector`` from the caller's own embedding column."""
-    return df.withColumn("vector", array_to_vector(F.col(array).cast("array<double>")))
+def term_vectors(df: DataFrame, doc: str, tokens: str) -> DataFrame:
+    """(doc, term, weight): TF-IDF on the terms themselves, tf * ln((N + 1) / (n + 1)) for a term of n of N rows.
 
+    The hashed vectors weigh alike but may let terms collide. A term that most
+    texts have is joined apart from the others.
+    """
+    counts = cut_lineage(df.select(doc, F.explode(tokens).alias("term")).groupBy(doc, "term").agg(F.count("*").alias("tf")))
+    spread = counts.groupBy("term").agg(F.count("*").alias("n"))
+    weight = F.col("tf") * F.log(F.lit(df.count() + 1) / (F.col("n") + 1))
+    return join_per_key(counts, spread, "term", "n").select(doc, "term", weight.alias("weight"))
+
+
+def array_vectors(df: DataFrame, array: str, out: str = "vector") -> DataFrame:
+    """Add ``out`` from the caller's own embedding column."""
+    return df.withColumn(out, array_to_vector(F.col(array).cast("array<double>")))
 
-def number_topics(df: DataFrame, cluster: str, min_topic_size: int = 2) -> DataFrame:
-    """Add ``topic_id``: 0, 1, 2 ... by falling size; -1 for NULL or too small clusters.
+
+def topic_numbers(df: DataFrame, cluster: str, min_topic_size: int = 2) -> DataFrame:
+    """(cluster, topic_id): 0, 1, 2 ... by falling size, for clusters that are large enough.
 
     The ranking runs over one row per cluster.
     """
     sizes = df.filter(F.col(cluster).isNotNull()).groupBy(cluster).agg(F.count("*").alias("_n"))
     rank = F.row_number().over(W.orderBy(F.desc("_n"), cluster)) - 1
-    numbers = sizes.filter(F.col("_n") >= min_topic_size).select(cluster, rank.alias("topic_id"))
-    numbered = df.join(numbers, cluster, "left")
-    return numbered.withColumn("topic_id", F.coalesce("topic_id", F.lit(OUTLIER)))
+    return sizes.filter(F.col("_n") >= min_topic_size).select(cluster, rank.alias("topic_id"))
+
+
+def number_rows(df: DataFrame, numbers: DataFrame, cluster: str) -> DataFrame:
+    """Add ``topic_id`` from ``numbers``; -1 for NULL or unnumbered clusters."""
+    return df.join(numbers, cluster, "left").withColumn("topic_id", F.coalesce("topic_id", F.lit(OUTLIER)))
+
+
+def number_topics(df: DataFrame, cluster: str, min_topic_size: int = 2) -> DataFrame:
+    """Add ``topic_id``: 0, 1, 2 ... by falling size; -1 for NULL or too small clusters."""
+    return number_rows(df, topic_numbers(df, cluster, min_topic_size), cluster)
+
+
+def fit_clusters(df: DataFrame, vector: str = "vector", k: int = 20, seed: int = 42) -> KMeansModel:
+    return KMeans(featuresCol=vector, predictionCol="_cluster", k=k, seed=seed, maxIter=10).fit(df)
 
 
 def assign_topics(
@@ -51,7 +87,7 @@ def assign_topics(
     """Cluster the vectors and number the clusters; fewer than two rows are all outliers."""
     if len(df.select(vector).take(2)) < 2:
         return df.withColumn("topic_id", F.lit(OUTLIER))
-    model = KMeans(featuresCol=vector, predictionCol="_cluster", k=k, seed=seed, maxIter=10).fit(df)
+    model = fit_clusters(df, vector, k, seed)
     return number_topics(model.transform(df), "_cluster", min_topic_size).drop("_cluster")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire import defaults
@@ -15,10 +15,17 @@ from tidewire.operators.merge import cap_per_feed, new_from_feeds
 from tidewire.operators.quota import quota_by_file
 from tidewire.session import cut_lineage
 from tidewire.sources.feeds import feed_a_records, feed_b_records
-from tidewire.sources.gkg import to_articles
+from tidewire.sources.gkg import read_slots, to_articles
 from tidewire.sources.pages import long_enough, page_text, scrape
 
 ORDER = ("file_no", "line_no")
+MANY = (1 << 63) - 1
+
+
+def relevant_articles(lines: DataFrame, slots: DataFrame, keywords: Sequence[str], scraped_at: Column | None) -> DataFrame:
+    """The listed articles on the keywords, with ``file_no`` and ``line_no``."""
+    relevant = lines.filter(is_web_url(F.col("url")) & mentions_joined(F.col("themes"), F.col("url"), keywords))
+    return to_articles(relevant.join(short_side(slots), "slot"), *ORDER, scraped_at=scraped_at)
 
 
 def collect_bulk(
@@ -34,13 +41,48 @@ def collect_bulk(
     (file_no, slot) in reading order. Returns the articles (with ``file_no`` and
     ``line_no``) and one row (total, files_tried).
     """
-    relevant = lines.filter(is_web_url(F.col("url")) & mentions_joined(F.col("themes"), F.col("url"), keywords))
-    articles = to_articles(relevant.join(short_side(slots), "slot"), *ORDER, scraped_at=scraped_at)
+    articles = relevant_articles(lines, slots, keywords, scraped_at)
     accepted, tried = quota_by_file(keep_first(articles, "url", *ORDER), slots, target)
     counts = tried.agg(F.sum("n").alias("total"), F.count("*").alias("files_tried"))
     return accepted, counts
 
 
+def collect_landed(
+    spark: SparkSession,
+    root: str,
+    slots: DataFrame,
+    target: int | None = None,
+    keywords: Sequence[str] = defaults.BULK_KEYWORDS,
+    layout: str = "{slot}.gkg.csv",
+    first_group: int = 32,
+    scraped_at: Column | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """``collect_bulk`` over the files landed below ``root``, read in groups of slots until ``target`` is met.
+
+    Groups double in size, so files beyond the target are mostly never opened,
+    and a long list takes few rounds. Without a target all listed files are one
+    group. A URL belongs to the first file that lists it, as in a single read.
+    """
+    if target is None:
+        return collect_bulk(read_slots(spark, root, slots, layout), slots, MANY, keywords, scraped_at)
+    last = slots.agg(F.max("file_no")).first()[0]
+    start, size = slots.agg(F.min("file_no")).first()[0], first_group
+    taken, total, tried = None, 0, 0
+    while last is not None and start <= last and total < target:
+        group = slots.filter(F.col("file_no").between(start, start + size - 1))
+        relevant = relevant_articles(read_slots(spark, root, group, layout), group, keywords, scraped_at)
+        fresh = relevant if taken is None else not_stored(relevant, taken.select("url"))
+        found, files = quota_by_file(keep_first(fresh, "url", *ORDER), group, target - total)
+        found, files = cut_lineage(found), cut_lineage(files)
+        taken = found if taken is None else taken.unionByName(found)
+        read = files.agg(F.sum("n"), F.count("*")).first()
+        total, tried = total + (read[0] or 0), tried + read[1]
+        start, size = start + size, 2 * size
+    if taken is None:
+        return collect_bulk(read_slots(spark, root, slots, layout), slots, target, keywords, scraped_at)
+    return taken, spark.range(1).select(F.lit(total).cast("long").alias("total"), F.lit(tried).cast("long").alias("files_tried"))
+
+
 def collect_windows(
     lines: DataFrame,
     slots: DataFrame,

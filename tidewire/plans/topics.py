@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.functions.text import words
 from tidewire.operators.topics import (
-    OUTLIER, array_vectors, assign_topics, label_topics, term_weights, tfidf_vectors, top_terms, topic_labels, topic_text,
+    OUTLIER, array_vectors, fit_clusters, fit_tfidf, label_topics, number_rows, term_weights, top_terms, topic_labels,
+    topic_numbers, topic_text,
 )
 from tidewire.session import cut_lineage
 
@@ -24,14 +27,16 @@ def model_topics(
     texts = articles.withColumn("_text", topic_text(F.col("cleaned_body"), F.col("headline")))
     if len(texts.take(2)) < 2:
         return label_topics(texts.withColumn("topic_id", F.lit(OUTLIER)), None).drop("_text")
-    narrow = texts.select("seq", "_text", *([embedding] if embedding else []))
-    vectors = array_vectors(narrow, embedding) if embedding else tfidf_vectors(narrow, "_text")
+    narrow = texts.select("_text", *([embedding] if embedding else []))
+    vectors_of = partial(array_vectors, array=embedding, out="_vector") if embedding else fit_tfidf(narrow, "_text", out="_vector")
     # Fitting goes over the vectors many times: keep them, not the text they come from.
-    vectors = cut_lineage(vectors.select("seq", "vector"))
-    ids = cut_lineage(assign_topics(vectors, k=k, min_topic_size=min_topic_size, seed=seed).select("seq", "topic_id"))
-    joined = texts.join(ids, "seq")
-    terms = term_weights(joined.withColumn("_tokens", words(F.col("_text"))), "topic_id", "_tokens")
-    labels = topic_labels(top_terms(terms))
-    bare = ids.filter(F.col("topic_id") == OUTLIER).select(F.col("topic_id").alias("topic")).distinct()
-    labels = labels.filter(F.col("topic") != OUTLIER).unionByName(bare.withColumn("label", F.lit("Outlier")))
-    return label_topics(joined, labels).drop("_text")
+    vectors = cut_lineage(vectors_of(narrow).select("_vector"))
+    model = fit_clusters(vectors, "_vector", k, seed)
+    # Both lookups have one row per topic and are written, so Spark knows that they are short:
+    # the articles get their topics where they are read, without a shuffle of their bodies.
+    numbers = cut_lineage(topic_numbers(model.transform(vectors), "_cluster", min_topic_size))
+    numbered = number_rows(model.transform(vectors_of(texts)), numbers, "_cluster").drop("_vector", "_cluster")
+    terms = term_weights(numbered.withColumn("_tokens", words(F.col("_text"))), "topic_id", "_tokens")
+    labels = topic_labels(top_terms(terms)).filter(F.col("topic") != OUTLIER)
+    outlier = labels.sparkSession.range(1).select(F.lit(OUTLIER).alias("topic"), F.lit("Outlier").alias("label"))
+    return label_topics(numbered, cut_lineage(labels.unionByName(outlier))).drop("_text")

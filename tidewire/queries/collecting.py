@@ -7,6 +7,7 @@ import uuid
 import zipfile
 
 import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewire import defaults
@@ -57,6 +58,30 @@ def _(t):
     return gkg.read_gkg(t.spark, landed(t)).select("slot", "date", "source", "url", "themes", "tone_csv")
 
 
+LAYOUT = "slot={slot}/*.txt"
+
+
+def landed_in_order(t) -> str:
+    """Write the feed lines as one folder and file per slot, lines in order."""
+    path = scratch_path(t.spark, "slots")
+    lines = feed_lines(t).select(F.format_string("%014d", "file_no").alias("slot"), "line_no", "value")
+    ordered = lines.repartition("slot").sortWithinPartitions("slot", "line_no").drop("line_no")
+    ordered.write.partitionBy("slot").text(path)
+    return path
+
+
+def named_slots(t, where: str = "true"):
+    return slots(t).filter(where).select("file_no", F.format_string("%014d", "slot").alias("slot"))
+
+
+@query("src1_listed_slots", f"""SELECT lpad(CAST(file_no AS VARCHAR), 14, '0') AS slot, row_number() OVER (PARTITION BY file_no ORDER BY line_no) AS place,
+  date, source, url, themes, tone_csv FROM ({PARSED}) WHERE file_no % 5 = 2""")
+def _(t):
+    rows = gkg.read_slots(t.spark, landed_in_order(t), named_slots(t, "file_no % 5 = 2"), LAYOUT)
+    place = F.row_number().over(Window.partitionBy("slot").orderBy("line_no")).cast("long")
+    return rows.withColumn("place", place).select("slot", "place", "date", "source", "url", "themes", "tone_csv")
+
+
 @query("src2_gkg_scan_filtered", f"""SELECT replace(url, 'x', chr(65533)) AS url, replace(themes, 'x', chr(65533)) AS themes FROM ({PARSED})
   WHERE url IS NOT NULL AND {HISTORICAL}""")
 def _(t):
@@ -326,6 +351,13 @@ def _(t):
     return collect.collect_bulk(lines, slots(t), target=60)[0].drop("scrape_at")
 
 
+@query("stg1_collect_landed", f"""SELECT url, source, headline, published_at, body, gdelt_tone, themes, file_no FROM {FIRST}
+  WHERE file_no IN (SELECT file_no FROM {TRIED})""")
+def _(t):
+    found, _ = collect.collect_landed(t.spark, landed_in_order(t), named_slots(t), target=60, layout=LAYOUT, first_group=16)
+    return found.drop("scrape_at", "line_no")
+
+
 @query("agg6_collection_counters", f"SELECT CAST(sum(n) AS BIGINT) AS total, count(*) AS files_tried FROM {TRIED}")
 def _(t):
     lines = parsed_feed(t).withColumnRenamed("file_no", "slot")

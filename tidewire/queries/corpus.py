@@ -230,7 +230,7 @@ def _(t):
     return topics.number_topics(clustered, "c", min_topic_size=26).select("doc_id", "topic_id")
 
 
-@query("ml3_document_vectors")
+@query("ml3_document_vectors", f"SELECT doc_id, CASE WHEN len({S.words('lower(text)')}) > 0 THEN 1.0::DOUBLE ELSE 0.0 END AS squared_length FROM documents")
 def _(t):
     from pyspark.ml.functions import vector_to_array
 
@@ -239,11 +239,65 @@ def _(t):
     return vectors.select("doc_id", F.round(unit, 6).alias("squared_length"))
 
 
+@query("ml3_term_vectors", f"""SELECT doc_id, term, round(tf * ln(((SELECT count(*) FROM documents) + 1)::DOUBLE
+    / (count(*) OVER (PARTITION BY term) + 1)), 6) AS weight
+  FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(tokens) AS term FROM {DOC_TOPICS}) GROUP BY doc_id, term)""")
+def _(t):
+    vectors = topics.term_vectors(doc_topics(t), "doc_id", "tokens")
+    return vectors.withColumn("weight", F.round("weight", 6))
+
+
+# Vectors that differ by language alone, so the clusters are known.
+LANGS = ("en", "de", "fr", "es")
+
+
+def by_lang(t):
+    flags = [(F.col("lang") == lang).cast("double") for lang in LANGS]
+    return t.documents.select("doc_id", "text", F.array(*flags).alias("flags"))
+
+
+BY_LANG = "(SELECT *, CASE WHEN lang IN ('en', 'de', 'fr', 'es') THEN lang ELSE '' END AS own FROM documents)"
+
+
+@query("ml4_separable_clusters", f"""SELECT doc_id, min(doc_id) OVER (PARTITION BY own) AS first_doc,
+  count(*) OVER (PARTITION BY own) AS members, rank() OVER (ORDER BY n DESC) - 1 AS larger_docs
+  FROM (SELECT *, count(*) OVER (PARTITION BY own) AS n FROM {BY_LANG})""")
+def _(t):
+    """The topics are those of the languages, and numbered by falling size; ties may come in any order."""
+    found = topics.assign_topics(topics.array_vectors(by_lang(t), "flags"), k=len(LANGS) + 1, min_topic_size=1)
+    sizes = found.groupBy("topic_id").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("members"))
+    larger = sizes.alias("a").join(sizes.alias("b"), (F.col("b.topic_id") < F.col("a.topic_id")) & (F.col("b.members") > F.col("a.members")), "left")
+    place = larger.groupBy("a.topic_id", "a.first_doc", "a.members").agg(F.coalesce(F.sum("b.members"), F.lit(0)).alias("larger_docs"))
+    return found.select("doc_id", "topic_id").join(place, "topic_id").drop("topic_id")
+
+
 @query("ml4_topic_clusters")
 def _(t):
     return topics.assign_topics(topics.array_vectors(t.embeddings, "embedding"), k=8).select("vec_id", "topic_id")
 
 
+LANG_WORDS = f"(SELECT own, unnest({S.words('lower(text)')}) AS term FROM {BY_LANG})"
+LANG_TERMS = f"""(SELECT own, term, tf * ln(1 + (SELECT count(*)::DOUBLE / count(DISTINCT own) FROM {LANG_WORDS}) / sum(tf) OVER (PARTITION BY term)) AS weight
+  FROM (SELECT own, term, count(*) AS tf FROM {LANG_WORDS} GROUP BY own, term))"""
+LANG_LABELS = f"""(SELECT own, string_agg(term, '_' ORDER BY rank) AS label FROM (
+  SELECT *, row_number() OVER (PARTITION BY own ORDER BY weight DESC, term) AS rank FROM {LANG_TERMS}) WHERE rank <= 3 GROUP BY own)"""
+
+
+@query("stg7_separable_topics", f"""SELECT doc_id AS seq, md5(text) AS digest, min(doc_id) OVER (PARTITION BY own) AS first_doc, label
+  FROM {BY_LANG} JOIN {LANG_LABELS} USING (own)""")
+def _(t):
+    """The whole stage on vectors with known clusters; the number in a label is left out, for sizes may tie."""
+    from tidewire.plans.topics import model_topics
+
+    docs = by_lang(t).select(
+        F.col("doc_id").alias("seq"), "text", F.lower("text").alias("cleaned_body"), F.lit("").alias("headline"), "flags",
+    )
+    found = model_topics(docs, k=len(LANGS) + 1, min_topic_size=1, embedding="flags")
+    first = found.groupBy("topic_id").agg(F.min("seq").alias("first_doc"))
+    label = F.regexp_replace("topic", r"^Topic_\d+_", "").alias("label")
+    return found.join(first, "topic_id").select("seq", F.md5("text").alias("digest"), "first_doc", label)
+
+
 @query("stg7_model_topics")
 def _(t):
     from tidewire.plans.topics import model_topics

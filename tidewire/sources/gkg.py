@@ -8,6 +8,7 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,6 +86,35 @@ def read_zipped_gkg(spark: SparkSession, path: str) -> DataFrame:
     return parse_lines(unzip_lines(files.select("path", "content")))
 
 
+def read_slots(spark: SparkSession, root: str, slots: DataFrame, layout: str = "{slot}.gkg.csv") -> DataFrame:
+    """Parsed lines of the landed files of the listed slots only, with ``slot`` and ``line_no``.
+
+    ``layout`` says where a slot's file lies below ``root``; it may hold ``*``
+    after the slot, and archives end in ``.zip``. Slots without a file are passed
+    by, and no other file is opened. ``slots`` is a short list, one row per file to read.
+    ``line_no`` grows along a file. In plain files it is the start of the line's split plus
+    its row in the task: Spark gives a full split a task of its own, so the
+    lines of a later split always get larger numbers.
+    """
+    names = sorted({r["slot"] for r in slots.select(F.col("slot").cast("string")).distinct().collect()})
+    before, _, after = layout.partition("{slot}")
+    zipped = layout.endswith(".zip")
+    try:
+        files = spark.read.format("binaryFile" if zipped else "text").load(f"{root.rstrip('/')}/{before}{{{','.join(names)}}}{after}")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return parse_lines(spark.createDataFrame([], "slot string, line_no long, value string"))
+    if zipped:
+        lines = unzip_lines(files)
+    else:
+        row = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+        lines = files.select("value", F.col("_metadata.file_path").alias("path"), (F.col("_metadata.file_block_start") + row).alias("line_no"))
+    below = F.substring_index("path", "/", -1 - layout.count("/"))
+    slot = F.substring(below, len(before) + 1, 1 << 20)
+    return parse_lines(lines.select((F.substring_index(slot, after[0], 1) if after else slot).alias("slot"), "line_no", "value"))
+
+
 def article_columns(scraped_at: Column | None = None, with_tone: bool = True) -> dict[str, Column]:
     """The article record of one feed line."""
     stamp = F.current_timestamp() if scraped_at is None else scraped_at
