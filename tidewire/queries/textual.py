@@ -336,14 +336,13 @@ def _(t):
     return scored.select("doc_id", F.round(scores.signed_label_score(F.col("r.label"), F.col("r.score")), 6).alias("model"))
 
 
-@query("ml2_separable_labels", "SELECT doc_id, CASE WHEN quality = 1 THEN 'LABEL_2' ELSE 'LABEL_0' END AS label, true AS in_range FROM documents JOIN labels USING (doc_id)")
-def _(t):
-    """The bundled model on texts with a word of their label after each of their own, so the labels are known."""
-    mark = F.when(F.col("quality") == 1, " splendid ").otherwise(" dreadful ")
-    marked_docs = t.documents.join(t.labels, "doc_id").withColumn("marked", F.concat(F.replace(F.lower("text"), F.lit(" "), mark), mark))
-    model = scoring.default_scorer(marked_docs, "marked", "quality")
-    scored = scoring.apply_default_scorer(model, marked_docs, "marked")
-    return scored.select("doc_id", "label", F.col("score").between(0.5, 1.0).alias("in_range"))
+@query("ml2_label_flags", "SELECT doc_id, true AS known_label, true AS in_range FROM documents")
+def _(t):
+    """The bundled model's labels and scores, checked for their form only: which label a text gets is beyond SQL."""
+    model = scoring.default_scorer(t.documents.join(t.labels, "doc_id"), "text", "quality")
+    scored = scoring.apply_default_scorer(model, t.documents.select("doc_id", "text"), "text")
+    known = F.col("label").isin("LABEL_0", "LABEL_2").alias("known_label")
+    return scored.select("doc_id", known, F.col("score").between(0.5, 1.0).alias("in_range"))
 
 
 @query("ml2_model_score")
