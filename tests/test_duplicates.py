@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewire.functions.minhash import PRIME, band_keys, minhash_signature
 from tidewire.operators import dedup, hotkeys, merge, neardup, quota
+from tidewire.operators.components import components
 from tidewire.plans.clean import clean_articles
 
 
@@ -44,6 +45,34 @@ def test_random_groups_match_brute_force(spark):
         assert got == expected
 
 
+def test_long_chain_takes_few_rounds(spark, monkeypatch):
+    # Text i shares a key with the one before it and one with the one after it, 2,000 texts long.
+    chain = {i: [i // 2, (i + 1) // 2] for i in range(2000)}
+    rounds, firsts = [], neardup.band_firsts
+    monkeypatch.setattr(neardup, "band_firsts", lambda rows: rounds.append(1) or firsts(rows))
+    got, expected = kept_set(spark, chain, 2)
+    assert got == expected and len(got) == 1000
+    assert len(rounds) <= neardup.FREE_ROUNDS + 1
+
+
+def test_parts_over_the_bound_go_on_by_rounds(spark, monkeypatch):
+    rng = random.Random(11)
+    bands = {i: [i // 2, (i + 1) // 2] for i in range(24)} | {100 + i: [100 + i // 2, 100 + (i + 1) // 2] for i in range(12)}
+    bands |= {200 + i: [200 + rng.randrange(90), 300 + rng.randrange(90)] for i in range(60)}
+    monkeypatch.setattr(neardup, "FREE_ROUNDS", 1)
+    for bound in (0, 12, 50_000):
+        monkeypatch.setattr(neardup, "PART_TEXTS", bound)
+        got, expected = kept_set(spark, bands, 2)
+        assert got == expected
+
+
+def test_components_of_a_chain_and_a_star(spark):
+    links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 60)] + [(7, 7)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(links, "u long, v long")).collect()}
+    assert got == {i: 0 for i in range(1, 41)} | {i: 100 for i in range(101, 160)}
+    assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
 def test_one_crowded_band_with_hot_path(spark, monkeypatch):
     # A third of all texts share one key without being equal; force the broadcast path.
     monkeypatch.setattr(hotkeys, "HOT_ROWS", 5)

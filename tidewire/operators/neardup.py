@@ -8,12 +8,20 @@ text however large a group of copies is.
 
 from __future__ import annotations
 
+from itertools import count
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidewire.functions.minhash import BANDS, band_keys, minhash_signature
+from tidewire.operators.components import components
 from tidewire.operators.hotkeys import join_per_key
-from tidewire.session import cut_lineage
+from tidewire.session import cut_lineage, scratch_path
+
+FREE_ROUNDS = 3  # rounds before what is left is cut into its connected parts
+PART_TEXTS = 50_000  # texts of a part that one task settles
 
 
 def text_bands(df: DataFrame, seq: str, text: str) -> DataFrame:
@@ -50,20 +58,58 @@ def greedy_keep_first(bands: DataFrame, per_text: int = BANDS) -> DataFrame:
     that comes first under all of its band keys has no earlier rival left and
     is kept; all other texts under these keys are dropped. This repeats until
     no text is undecided and equals going through them one at a time.
+
+    A chain of versions takes a round for every two links. What a few rounds
+    leave undecided is therefore cut into its connected parts, and each part of
+    bounded size is settled in order in one task; only larger parts go on by rounds.
     """
     distinct = bands.groupBy("bands").agg(F.min("seq").alias("seq"))
     open_rows = cut_lineage(explode_bands(distinct))
-    kept = None
-    while True:
+    spark, folder = bands.sparkSession, scratch_path(bands.sparkSession, "kept")
+    for turn in count():
         firsts = band_firsts(open_rows)
-        winners = firsts.groupBy(F.col("first").alias("seq")).count().filter(F.col("count") == per_text)
-        winners = cut_lineage(winners.select("seq"))
-        kept = winners if kept is None else kept.unionByName(winners)
+        winners = firsts.groupBy(F.col("first").alias("seq")).count().filter(F.col("count") == per_text).select("seq")
+        winners.write.parquet(f"{folder}/turn={2 * turn}")
+        winners = spark.read.parquet(f"{folder}/turn={2 * turn}")
         closed = firsts.join(winners, F.col("first") == F.col("seq"), "left_semi").select("band", "n")
         decided = join_per_key(open_rows, closed, "band", "n").select("seq").distinct()
         open_rows = cut_lineage(open_rows.join(decided, "seq", "left_anti"))
+        if turn + 1 == FREE_ROUNDS and not open_rows.isEmpty():
+            parts = cut_lineage(open_parts(open_rows))
+            settle(parts.filter(F.col("texts") <= PART_TEXTS)).write.parquet(f"{folder}/turn={2 * turn + 1}")
+            large = parts.filter(F.col("texts") > PART_TEXTS)
+            open_rows = cut_lineage(explode_bands(large))
         if open_rows.isEmpty():
-            return kept
+            return spark.read.parquet(folder).select("seq")
+
+
+def open_parts(rows: DataFrame) -> DataFrame:
+    """(part, texts, seq, bands): undecided texts with the connected part they are in, and how many it has."""
+    links = collision_stars(rows).select(F.col("seq").alias("u"), F.col("first").alias("v"))
+    texts = rows.groupBy("seq").agg(F.collect_list("band").alias("bands"))
+    named = texts.join(components(links).withColumnRenamed("node", "seq"), "seq", "left")
+    named = named.select(F.coalesce("component", "seq").alias("part"), "seq", "bands")
+    return named.join(named.groupBy("part").agg(F.count("*").alias("texts")), "part")
+
+
+def settle(parts: DataFrame) -> DataFrame:
+    """(seq): the texts of (part, seq, bands) kept by going through each part in order; a task holds one part's keys."""
+    seq = to_arrow_schema(parts.select("seq").schema)
+
+    def run(batches):
+        at, taken = None, set()
+        for batch in batches:
+            kept = []
+            for part, text, bands in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if part != at:
+                    at, taken = part, set()
+                if taken.isdisjoint(bands):
+                    taken.update(bands)
+                    kept.append(text)
+            yield pa.RecordBatch.from_arrays([pa.array(kept, seq.field(0).type)], schema=seq)
+
+    ordered = parts.select("part", "seq", "bands").repartition("part").sortWithinPartitions("part", "seq")
+    return ordered.mapInArrow(run, parts.select("seq").schema)
 
 
 def kept_partners(bands: DataFrame, kept: DataFrame) -> DataFrame:
