@@ -11,8 +11,10 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidewire.llm import bytecnn, components, maxscore, mixing, packing, secrets, simhash, tokens, toxicity, trees, vectors, vptree, warc, wavelet
+from tidewire.llm import bytecnn, maxscore, mixing, packing, secrets, simhash, tokens, toxicity, trees, vectors, vptree, warc, wavelet
 from tidewire.llm import queries as registered
+from tidewire.llm import sampling
+from tidewire.operators.components import components
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, hash int, fp string, row string, score int, before string, slice int"
@@ -234,6 +236,9 @@ def test_held_out_accuracy(spark, name, label, least):
     assert all(r.held_out == held(r.doc_id) and 0 <= r.score <= 1 for r in rows)
     test = [(r.predicted, known[r.doc_id]) for r in rows if r.held_out and r.doc_id in known]
     assert sum(a == b for a, b in test) / len(test) >= least
+    ones, zeros = [a for a, b in test if b], [a for a, b in test if not b]
+    if label == "toxic":  # few rows are, so accuracy alone says little about them
+        assert sum(ones) / len(ones) >= 0.7 and sum(zeros) / len(zeros) <= 0.01
 
 
 def test_classifiers_edge(spark, edge, none, docs):
@@ -247,6 +252,16 @@ def test_classifiers_edge(spark, edge, none, docs):
     assert toxicity.drop_toxic(edge, toxicity.fit(edge, no_labels)).count() == len(EDGE)
 
 
+def test_sample_is_bounded_whatever_repeats(spark):
+    rows = [(i % 40, f"text {i}") for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(3, 1), (4, 1), (None, 0)], "doc_id long, toxic int")
+    got = sampling.labelled_sample(docs, labels, "doc_id", "text", "toxic", 10).collect()
+    assert len(got) == len({r.doc_id for r in got}) == 10
+    assert all(not held(r.doc_id) and r.label == r.doc_id % 2 and r.text == min(t for i, t in rows if i == r.doc_id) for r in got)
+    assert 4 not in {r.doc_id for r in sampling.labelled_sample(docs, labels, "doc_id", "text", "toxic", 100).collect()}
+
+
 def test_whole_text_is_scored(spark, docs):
     net = bytecnn.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"), epochs=1)
     alone, together = net.score([LONG, "", "x"]), [float(net.score([t])[0]) for t in (LONG, "", "x")]
@@ -488,7 +503,7 @@ def test_links_of_crowded_files(spark, part_rows):
     base = rng.integers(0, 1 << 63, 6, dtype=np.uint64)
     fps = {int(b) for b in base} | {int(b) ^ sum(1 << int(i) for i in rng.choice(20, rng.integers(1, 8), replace=False)) for b in base for _ in range(120)}
     signed = [(f - (1 << 64) if f >> 63 else f,) for f in fps]
-    stars = components.components(simhash.link_stars(spark.createDataFrame(signed, "fp long"), part_rows)).collect()
+    stars = components(simhash.link_stars(spark.createDataFrame(signed, "fp long"), part_rows)).collect()
     got = {f: f for f in fps} | {r.node % (1 << 64): r.component % (1 << 64) for r in stars}
     mine, plain = defaultdict(set), defaultdict(set)
     for f, c in plain_classes(fps).items():
@@ -497,13 +512,6 @@ def test_links_of_crowded_files(spark, part_rows):
     assert sorted(map(sorted, mine.values())) == sorted(map(sorted, plain.values()))
 
 
-def test_components_of_a_chain_and_a_star(spark):
-    links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 60)] + [(7, 7)]
-    got = {r.node: r.component for r in components.components(spark.createDataFrame(links, "u long, v long")).collect()}
-    assert got == {i: 0 for i in range(1, 41)} | {i: 100 for i in range(101, 160)}
-    assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
-
-
 def test_near_duplicates_edge(edge, none):
     rows = simhash.near_duplicates(edge).collect()
     assert Counter(r.doc_id for r in rows) == ALL_IDS

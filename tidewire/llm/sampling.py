@@ -16,7 +16,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str,
 
     They are the first ones in the order of a hash of the id, so the same rows
     are taken each time. Labels that are null or contradict each other are left
-    out, and so are, with ``max_chars``, longer texts. ``fold`` is 0 to 3.
+    out, and so are, with ``max_chars``, longer texts. Of rows that repeat an id, the
+    smallest text is taken, so that the bound holds. ``fold`` is 0 to 3.
     """
     own = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("label")).filter("doc_id IS NOT NULL AND label IS NOT NULL")
     own = own.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("most"))
@@ -25,5 +26,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str,
     if max_chars is not None:
         texts = texts.filter(F.char_length("text") <= max_chars)
     chosen = own.filter("label = most").withColumn("order", order).orderBy("order").limit(rows)
-    some = texts.join(F.broadcast(chosen.drop("most")), "doc_id")
+    some = texts.join(F.broadcast(chosen.drop("most")), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     return some.select("doc_id", "text", "label", F.pmod(F.xxhash64(F.lit(8), "doc_id"), F.lit(4)).cast("int").alias("fold"))
