@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from tidewire import session
 from tidewire.operators import topics
+from tidewire.operators.scoring import default_scorer
 from tidewire.plans.collect import MANY, collect_bulk, collect_landed
 from tidewire.plans.nlp import score_articles
 from tidewire.plans.run import run_stages
 from tidewire.plans.topics import model_topics
+from tidewire.queries import load
 from tidewire.sinks import writers
 from tidewire.sources import feeds, gkg, pages, slots, tables
 from tidewire.streaming.ingest import bounded_stream, ingest_stream, line_stream
@@ -237,6 +239,17 @@ def test_scores_in_one_pass(spark):
     assert "Exchange" not in scored._jdf.queryExecution().executedPlan().toString()
 
 
+def test_bundled_model_reads_whole_texts(spark):
+    # What tells the labels apart comes after 2,500 characters that are the same in all texts.
+    rows = [(i, "plain words " * 210 + ("splendid " if i % 2 else "dreadful ") * 20, i % 2) for i in range(40)]
+    docs = spark.createDataFrame(rows, "seq long, text string, label int")
+    model = default_scorer(docs, "text", "label")
+    found = {r.seq: r for r in score_articles(docs.select("seq", F.col("text").alias("body"), F.lit(None).cast("string").alias("headline")), model).collect()}
+    assert all((found[i].transformer_score > 0.5) == bool(y) and abs(found[i].transformer_score) > 0.5 for i, _, y in rows)
+    scored = load()[0]["ml2_model_score"](spark, "/root/testdata/sf0.001")
+    assert "substring(text" not in scored._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_shared_folder_comes_from_the_session(spark):
     assert session.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir", spark.sparkContext.getConf().get("spark.checkpoint.dir"))
     cut = session.cut_lineage(spark.range(3))

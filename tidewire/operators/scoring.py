@@ -20,9 +20,9 @@ MODEL_INPUT_CHARS = 2000
 BatchScorer = Callable[[list[str]], list[tuple[str, float]]]
 
 
-def model_input(body: Column) -> Column:
-    """What the model sees: the first characters of the raw body (its input limit)."""
-    return F.substring(body, 1, MODEL_INPUT_CHARS)
+def model_input(body: Column, max_chars: int | None = MODEL_INPUT_CHARS) -> Column:
+    """What the model sees: the first characters of the raw body (its input limit), or all of it if the limit is None."""
+    return body if max_chars is None else F.substring(body, 1, max_chars)
 
 
 def batch_label_score(text: Column, make_scorer: Callable[[], BatchScorer]) -> Column:
@@ -57,15 +57,17 @@ def batch_label_score(text: Column, make_scorer: Callable[[], BatchScorer]) -> C
     return score(text)
 
 
-def scorable(cleaned: Column, body: Column) -> Column:
+def scorable(cleaned: Column, body: Column, max_chars: int | None = MODEL_INPUT_CHARS) -> Column:
     """Model input, or NULL when nothing is left of the body after cleaning."""
-    return F.when(~is_blank(cleaned), model_input(body))
+    return F.when(~is_blank(cleaned), model_input(body, max_chars))
 
 
-def default_scorer(labelled: DataFrame, text: str, label: str, features: int = 1 << 14) -> PipelineModel:
-    """Hashed TF-IDF and logistic regression, trained on (text, 0/1 label) rows."""
+def default_scorer(
+    labelled: DataFrame, text: str, label: str, features: int = 1 << 14, max_chars: int | None = None,
+) -> PipelineModel:
+    """Hashed TF-IDF and logistic regression, trained on (text, 0/1 label) rows; texts are read whole without ``max_chars``."""
     train = labelled.select(
-        clean_tokens(model_input(F.col(text))).alias("tokens"), F.col(label).cast("double").alias("target")
+        clean_tokens(model_input(F.col(text), max_chars)).alias("tokens"), F.col(label).cast("double").alias("target")
     )
     # Two estimators read the tokens, one of them many times: clean the texts once.
     train = cut_lineage(train)

@@ -12,7 +12,7 @@ from tidewire import defaults
 from tidewire.functions.scores import composite_score, signed_label_score
 from tidewire.functions.text import clean_text
 from tidewire.operators.lexicon import lexicon_score
-from tidewire.operators.scoring import BatchScorer, apply_default_scorer, batch_label_score, scorable
+from tidewire.operators.scoring import MODEL_INPUT_CHARS, BatchScorer, apply_default_scorer, batch_label_score, scorable
 
 
 def score_articles(
@@ -21,15 +21,18 @@ def score_articles(
     lexicon: Mapping[str, float] = defaults.LEXICON,
     stopwords: Sequence[str] = defaults.STOPWORDS,
     lemmas: Mapping[str, str] = defaults.LEMMAS,
+    max_chars: int | None = MODEL_INPUT_CHARS,
 ) -> DataFrame:
     """Add ``cleaned_body``, ``vader_score``, ``transformer_score`` and ``sentiment_score``.
 
     ``scorer`` is a fitted Spark model (see ``default_scorer``) or a function
-    that makes a batch scorer inside each task.
+    that makes a batch scorer inside each task. ``max_chars`` is the input limit
+    of such a batch scorer, None for whole texts; a Spark model reads whole texts.
     """
+    limit = None if isinstance(scorer, PipelineModel) else max_chars
     prepared = articles.withColumn("cleaned_body", clean_text(F.col("body"), stopwords, lemmas)).withColumns({
         "vader_score": lexicon_score(F.col("headline"), lexicon),
-        "model_input": scorable(F.col("cleaned_body"), F.col("body")),
+        "model_input": scorable(F.col("cleaned_body"), F.col("body"), limit),
     })
     if isinstance(scorer, PipelineModel):
         labelled = apply_default_scorer(scorer, prepared, "model_input")

@@ -349,7 +349,7 @@ def _(t):
 def _(t):
     labelled = t.documents.join(t.labels, "doc_id")
     model = scoring.default_scorer(labelled, "text", "quality")
-    fed = t.documents.select("doc_id", scoring.model_input(F.col("text")).alias("model_input"))
+    fed = t.documents.select("doc_id", scoring.model_input(F.col("text"), None).alias("model_input"))
     scored = scoring.apply_default_scorer(model, fed, "model_input")
     return scored.select("doc_id", "label", F.round("score", 6).alias("score"))
 
