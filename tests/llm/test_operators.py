@@ -262,6 +262,19 @@ def test_sample_is_bounded_whatever_repeats(spark):
     assert 4 not in {r.doc_id for r in sampling.labelled_sample(docs, labels, "doc_id", "text", "toxic", 100).collect()}
 
 
+def test_long_texts_are_learned_from(spark):
+    rows = [(i, ("many different words here " if i % 2 else "&&& *** $$$ %%% ") * 500) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "CAST(doc_id % 2 AS INT) AS quality")
+    net = bytecnn.fit(docs, labels, epochs=6)
+    assert net.constant is None and all((s > 0.5) == bool(i % 2) for (i, _), s in zip(rows, net.score([t for _, t in rows]), strict=True))
+    sample = lambda **kind: {r.doc_id: r.text for r in sampling.labelled_sample(docs, labels, "doc_id", "text", "quality", 100, **kind).collect()}
+    whole, some = sample(), sample(max_bytes=100_000)
+    sizes = [len(t) for t in some.values()]
+    assert whole == {i: t for i, t in rows if not held(i)} and some.items() <= whole.items()
+    assert sum(sizes) - max(sizes) < 100_000 <= sum(sizes)
+
+
 def test_whole_text_is_scored(spark, docs):
     net = bytecnn.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"), epochs=1)
     alone, together = net.score([LONG, "", "x"]), [float(net.score([t])[0]) for t in (LONG, "", "x")]

@@ -18,7 +18,7 @@ from tidewire.llm.sampling import held_out, labelled_sample
 from tidewire.llm.tasks import map_rows
 
 SAMPLE_ROWS = 4000  # labelled rows that are learned from, at most
-SAMPLE_CHARS = 6000  # longer texts are not learned from; all are scored in full
+SAMPLE_BYTES = 32 << 20  # of their texts, which are read whole whatever their length
 WIDTH, STRIDE, FILTERS, HIDDEN = 7, 2, 16, 16
 HOP = 128  # a chunk is two hops long, and one starts at every hop
 SLICE = 1024  # hops whose responses are held at once
@@ -143,12 +143,12 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
     return net
 
 
-def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", rows: int = SAMPLE_ROWS, max_chars: int = SAMPLE_CHARS, epochs: int = EPOCHS) -> Net:
-    """Learn from at most ``rows`` labelled rows of at most ``max_chars`` characters outside the held-out part.
+def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", rows: int = SAMPLE_ROWS, max_bytes: int = SAMPLE_BYTES, epochs: int = EPOCHS) -> Net:
+    """Learn from the whole texts of at most ``rows`` labelled rows outside the held-out part, fewer if they have ``max_bytes``.
 
     Without both classes the score is constant: the share of ones, or 1 without labels.
     """
-    sample = labelled_sample(docs, labels, doc_id, text, label, rows, max_chars).select("doc_id", "text", "label").collect()
+    sample = labelled_sample(docs, labels, doc_id, text, label, rows, max_bytes).select("doc_id", "text", "label").collect()
     sample.sort(key=lambda r: (r["doc_id"], r["text"]))
     y = np.array([r["label"] for r in sample], float)
     if len(set(y)) < 2:
