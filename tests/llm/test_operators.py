@@ -360,6 +360,16 @@ def test_mixing_reaches_entropy(spark, docs):
         assert mix.entropy >= goal - 1e-9 and (mix.exponent == 1.0 or mix.entropy <= goal + 1e-6)
 
 
+def test_last_rows_of_a_large_source_stay(spark):
+    n = 30_000_000_000
+    rows = [(float(n) * (1 - 1e-12), n - 1, n, 1), (float(n), 0, n, 1), (2.0 * n, n - 1, n, 2), (2.0 * n - 5, n - 5, n, 1), (2.0 * n - 5, n - 6, n, 2)]
+    got = spark.createDataFrame(rows, "q double, before long, total long, due int")
+    passes = mixing.passes_due(mixing.whole_quota(F.col("q"), F.col("total"), True), F.col("before"), F.col("total"))
+    assert all(r.passes == r.due for r in got.withColumn("passes", passes).collect())
+    short = mixing.passes_due(mixing.whole_quota(F.lit(4.0), F.lit(9), False), F.lit(4), F.lit(9))
+    assert spark.range(1).select(short.alias("n")).first().n == 0
+
+
 def test_mixing_edge(edge, none):
     for kind in ({}, {"max_repeats": 2.0}, {"target_entropy": 0.9, "relative": True}):
         mixed = mixing.mix_sources(edge, **kind)

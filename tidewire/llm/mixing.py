@@ -13,7 +13,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.llm.ranks import running_sum, slices_for
@@ -90,6 +90,18 @@ def choose_exponent(
     return Mix(exponent, norm, entropy, tokens(exponent, norm))
 
 
+def whole_quota(quota: Column, total: Column, in_full: bool) -> Column:
+    """The quota in whole tokens, one at least if there is any; with ``in_full`` at least the source's ``total``."""
+    whole = F.greatest(F.round(quota), F.ceil(F.least(quota, F.lit(1.0)))).cast("long")
+    return F.greatest(whole, total) if in_full else whole
+
+
+def passes_due(quota: Column, before: Column, total: Column) -> Column:
+    """In how many passes over a source a row starts below the quota; ``before`` is less than ``total``, all are whole."""
+    ahead = quota - before + total - 1
+    return ((ahead - ahead % total) / total).cast("int")
+
+
 def mix_sources(
     docs: DataFrame, source: str = "source", text: str = "text", target_entropy: float | None = None,
     max_repeats: float | None = None, budget: float | None = None, block_tokens: int = BLOCK_TOKENS, seed: int = 11,
@@ -117,11 +129,11 @@ def mix_sources(
         target_entropy *= math.log(max(count, 1))
     mix = choose_exponent(shares, target_entropy, max_repeats, budget)
     blocks = max(1, math.ceil(mix.budget / block_tokens))
-    quota = F.pow("share", F.lit(mix.exponent)) / F.lit(mix.norm) * F.lit(mix.budget)
-    facts = shares.select("source", F.col("tokens").alias("total"), quota.alias("quota"))
+    share = F.pow("share", F.lit(mix.exponent)) / F.lit(mix.norm) * F.lit(mix.budget)
+    facts = shares.select("source", F.col("tokens").alias("total"), whole_quota(share, F.col("tokens"), budget is None).alias("quota"))
     ranked = running_sum(rows, "source", F.col("key"), F.col("tokens"), slices_for(all_rows or 0), facts)
     # A row is due in a pass if the tokens before it, over all passes, stay below its source's quota.
-    passes = F.ceil((F.col("quota") * (1 - 1e-9) - F.col("before")) / F.col("total")).cast("int")
+    passes = passes_due(F.col("quota"), F.col("before"), F.col("total"))
     due = ranked.filter(passes > 0).withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), passes - 1)))
     at = (F.col("mix_epoch") * F.col("total") + F.col("before")) / F.col("quota")
     return due.select(
