@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from tidewire.operators.dedup import keep_first, not_stored
 
 
-def cap_per_feed(df: DataFrame, caps: dict[str, int], feed: str = "feed", seq: str = "seq") -> DataFrame:
-    """At most ``caps[feed]`` first rows of each feed."""
-    rank = F.row_number().over(W.partitionBy(feed).orderBy(seq))
+def cap_per_feed(df: DataFrame, caps: dict[str, int], feed: str = "feed", seq: str = "seq", answer: str | None = None) -> DataFrame:
+    """At most ``caps[feed]`` first rows of each feed, or of each answer of it if ``answer`` names a column."""
+    rank = F.row_number().over(W.partitionBy(feed, *([answer] if answer else [])).orderBy(seq))
     cap = F.lit(0)
     for name, most in caps.items():
         cap = F.when(F.col(feed) == name, most).otherwise(cap)

@@ -148,17 +148,22 @@ def collect_feeds(
     pages: DataFrame,
     caps: Mapping[str, int] | None = None,
     scraped_at: Column | None = None,
+    answer: str | None = None,
 ) -> DataFrame:
     """Stored articles plus the new ones of both feeds, with their bodies.
 
     ``feed_a`` and ``feed_b`` are listed articles with ``seq``. ``caps`` limits
-    the articles taken of feed ``a`` and ``b``; without it all landed ones are.
+    the articles taken of feed ``a`` and ``b``, in each answer if ``answer`` names
+    its column; without it all landed ones are.
     """
-    a = feed_a_records(feed_a, "seq", scraped_at=scraped_at).withColumn("feed", F.lit("a"))
-    b = feed_b_records(feed_b, "seq", scraped_at=scraped_at).withColumn("feed", F.lit("b"))
+    keep = ("seq", answer) if answer else ("seq",)
+    a = feed_a_records(feed_a, *keep, scraped_at=scraped_at).withColumn("feed", F.lit("a"))
+    b = feed_b_records(feed_b, *keep, scraped_at=scraped_at).withColumn("feed", F.lit("b"))
     if caps is not None:
-        a, b = cap_per_feed(a, {"a": caps["a"]}), cap_per_feed(b, {"b": caps["b"]})
-    few = caps is not None and sum(caps.values()) <= MAX_BROADCAST_ROWS
+        a, b = cap_per_feed(a, {"a": caps["a"]}, answer=answer), cap_per_feed(b, {"b": caps["b"]}, answer=answer)
+    if answer:
+        a, b = a.drop(answer), b.drop(answer)
+    few = caps is not None and answer is None and sum(caps.values()) <= MAX_BROADCAST_ROWS
     merged = new_from_feeds(stored, a.drop("feed"), b.drop("feed"), few_new=few).drop("feed_no")
     wanted = pages_of(merged.select("url"), pages, few=few)
     bodies = wanted.select("url", page_text(F.col("html")).alias("body"))

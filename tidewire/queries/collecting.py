@@ -364,6 +364,25 @@ def _(t):
     return collect.collect_bulk(lines, slots(t), target=60)[1]
 
 
+@query("stg1_collect_bulk_all", f"SELECT url, source, headline, published_at, body, gdelt_tone, themes, file_no, line_no FROM {FIRST}")
+def _(t):
+    """Over all slots, as ``run_stages`` does without a target."""
+    lines = parsed_feed(t).withColumnRenamed("file_no", "slot")
+    return collect.collect_bulk(lines, slots(t), target=collect.MANY)[0].drop("scrape_at")
+
+
+@query("stg1_collect_landed_all", f"SELECT url, source, headline, published_at, body, gdelt_tone, themes, file_no FROM {FIRST}")
+def _(t):
+    found, _ = collect.collect_landed(t.spark, landed_in_order(t), named_slots(t), target=None, layout=LAYOUT)
+    return found.drop("scrape_at", "line_no")
+
+
+@query("agg6_collection_counters_all", f"SELECT CAST(sum(n) AS BIGINT) AS total, count(*) AS files_tried FROM {PER_FILE}")
+def _(t):
+    lines = parsed_feed(t).withColumnRenamed("file_no", "slot")
+    return collect.collect_bulk(lines, slots(t), target=collect.MANY)[1]
+
+
 # Three windows of 32 slots each, settled in order with a quota of 25.
 STORED = "(SELECT url FROM pages WHERE contains(url, '/es/'))"
 
@@ -490,6 +509,41 @@ def _(t):
     return merged.select("url", "source", "headline", F.md5("body").alias("digest"))
 
 
+@query("stg3_scrape_bodies_all", f"""SELECT seq, headline, md5(body) AS digest FROM (
+  SELECT page_id AS seq, {TITLE} AS headline, {page_text_sql()} AS body FROM pages) WHERE length(body) > 100""")
+def _(t):
+    listed = t.pages.select(F.col("page_id").alias("seq"), "url")
+    found, _ = collect.scrape_bodies(listed, dedup.keep_first(t.pages, "url", "page_id"), max_articles=None)
+    return found.select("seq", "headline", F.md5("body").alias("digest"))
+
+
+def _collected(listed: str) -> str:
+    return f"""SELECT n.url, n.source, n.headline, md5(coalesce({page_text_sql('p.html')}, '')) AS digest
+  FROM (SELECT * FROM {listed} QUALIFY row_number() OVER (PARTITION BY url ORDER BY feed, seq) = 1) n
+  LEFT JOIN (SELECT url, html FROM pages QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id) = 1) p ON p.url = n.url
+  WHERE n.url IS NULL OR n.url NOT IN (SELECT url FROM {STORED})
+  UNION ALL SELECT url, NULL, NULL, NULL FROM {STORED}"""
+
+
+def feeds_collected(t, **caps):
+    a = feeds.feed_a_articles(answers_a(t)).withColumn("seq", 2 * F.col("page_id") + F.col("pos"))
+    b = feeds.feed_b_articles(answers_b(t)).withColumn("seq", F.col("page_id"))
+    stored = t.pages.filter(F.contains("url", F.lit("/es/"))).select("url")
+    merged = collect.collect_feeds(stored, a, b, dedup.keep_first(t.pages, "url", "page_id"), scraped_at=stamp(), **caps)
+    return merged.select("url", "source", "headline", F.md5("body").alias("digest"))
+
+
+@query("stg4_collect_feeds_all", _collected(BOTH))
+def _(t):
+    return feeds_collected(t)
+
+
+@query("stg4_collect_feeds_per_answer", _collected(f"""(SELECT * FROM {BOTH}
+  QUALIFY row_number() OVER (PARTITION BY feed, CASE feed WHEN 'a' THEN seq // 2 ELSE seq END ORDER BY seq) <= 1)"""))
+def _(t):
+    return feeds_collected(t, caps={"a": 1, "b": 1}, answer="page_id")
+
+
 # --- sinks and the stages that end in them -------------------------------------------------------
 
 
