@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidewire.functions import minhash
 from tidewire.functions.text import words
 from tidewire.functions.urls import normalize_url
-from tidewire.operators import dedup, neardup, topics
+from tidewire.operators import dedup, neardup, simjoin, topics
 from tidewire.queries import sqltext as S
 from tidewire.queries.inputs import RAW_ARTICLES, plain, raw_articles
 from tidewire.queries.registry import query
@@ -88,6 +88,23 @@ def _(t):
     return found.withColumn("jaccard", F.round("jaccard", 6))
 
 
+# Every pair that shares a word, and all that can be reached over those at 0.8 or more.
+SIMILAR = f"""WITH RECURSIVE sets AS MATERIALIZED (SELECT doc_id AS seq, list_distinct({S.words('text')}) AS k FROM documents),
+  single AS MATERIALIZED (SELECT seq, len(k) AS n, unnest(k) AS w FROM sets),
+  shared AS (SELECT a.seq AS x, b.seq AS y, a.n + b.n AS total, count(*) AS c FROM single a JOIN single b ON a.w = b.w AND a.seq < b.seq
+    WHERE a.n >= 0.8 * b.n AND b.n >= 0.8 * a.n GROUP BY ALL),
+  pairs AS (SELECT x, y FROM shared WHERE c::DOUBLE / (total - c) >= 0.8
+    UNION ALL SELECT a.seq, b.seq FROM sets a JOIN sets b ON len(a.k) = 0 AND len(b.k) = 0 AND a.seq < b.seq),
+  links AS MATERIALIZED (SELECT x, y FROM pairs UNION ALL SELECT y, x FROM pairs),
+  reached AS (SELECT seq AS x, seq AS y FROM sets UNION SELECT r.x, l.y FROM reached r JOIN links l ON r.y = l.x)
+  SELECT x AS seq, (SELECT count(*) FROM links l WHERE l.x = r.x) AS n_links, min(y) AS class_id FROM reached r GROUP BY x"""
+
+
+@query("join5_similar_texts", SIMILAR)
+def _(t):
+    return simjoin.similar_sets(t.documents.select("doc_id", words(F.col("text")).alias("words")), "doc_id", "words")
+
+
 # --- keep-first by URL, cleaning stage -----------------------------------------------------------
 
 RAW = plain(RAW_ARTICLES)
