@@ -17,8 +17,8 @@ from tidewire.plans.run import run_stages
 from tidewire.plans.topics import model_topics
 from tidewire.queries import load
 from tidewire.sinks import writers
-from tidewire.sources import feeds, gkg, pages, slots, tables
-from tidewire.streaming.ingest import bounded_stream, ingest_stream, line_stream
+from tidewire.sources import archives, feeds, gkg, pages, slots, tables
+from tidewire.streaming.ingest import bounded_stream, ingest_stream, ingested, line_stream
 
 
 def line(url, themes="vote", n=27, date="20240805101500", tone="1.5,2"):
@@ -49,7 +49,7 @@ def test_zipped_files(spark, tmp_path):
     empty = io.BytesIO()
     zipfile.ZipFile(empty, "w").close()
     (tmp_path / "empty.zip").write_bytes(empty.getvalue())
-    rows = gkg.read_zipped_gkg(spark, str(tmp_path)).collect()
+    rows = archives.read_zipped_gkg(spark, str(tmp_path)).collect()
     assert {(r["line_no"], r["url"]) for r in rows} == {(0, "http://a1"), (1, "http://a2"), (0, "http://b1")}
 
 
@@ -141,7 +141,7 @@ def test_stream_equals_batch_and_resumes(spark, tmp_path):
 
     def run():
         ingest_stream(spark, src, dst, ckpt).awaitTermination()
-        return sorted(r["url"] for r in spark.read.parquet(dst).collect())
+        return sorted(r["url"] for r in ingested(spark, dst).collect())
 
     (tmp_path / "src" / "1.txt").write_text("\n".join([line("http://a"), line("http://b"), line("http://a"), line("http://no", "sport")]))
     assert run() == ["http://a", "http://b"]

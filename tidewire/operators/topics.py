@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import IDF, HashingTF, Normalizer
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,6 +19,7 @@ from tidewire.operators.hotkeys import join_per_key
 from tidewire.session import cut_lineage
 
 OUTLIER = -1
+DISTANCE_ROWS = 1024
 
 
 def topic_text(cleaned: Column, headline: Column) -> Column:
@@ -77,18 +81,67 @@ def number_topics(df: DataFrame, cluster: str, min_topic_size: int = 2) -> DataF
     return number_rows(df, topic_numbers(df, cluster, min_topic_size), cluster)
 
 
+def choose_clusters(vectors: DataFrame, counts: Sequence[int], vector: str = "vector", seed: int = 42, worth: float = 2.0) -> KMeansModel:
+    """The model with the least penalised cost, cost times ``worth`` to the number of clusters: of those in ``counts``.
+
+    One more cluster must divide the cost by more than ``worth``. All models are fitted on the same written vectors.
+    """
+    models = [fit_clusters(vectors, vector, k, seed) for k in counts]
+    return min(models, key=lambda m: (math.log(max(m.summary.trainingCost, 1e-300)) + len(m.clusterCenters()) * math.log(worth), len(m.clusterCenters())))
+
+
+def centre_distance(model: KMeansModel, vector: str = "vector", cluster: str = "_cluster") -> Column:
+    """How far a vector is from the centre of its cluster, computed on Arrow batches."""
+    centres = np.array([c for c in model.clusterCenters()], dtype=np.float64)
+
+    @F.arrow_udf("double")
+    def distance(values: pa.Array, own: pa.Array) -> pa.Array:
+        rows = np.asarray(values.flatten(), dtype=np.float64).reshape(-1, centres.shape[1])
+        out = np.empty(len(rows))
+        for i in range(0, len(rows), DISTANCE_ROWS):
+            part = slice(i, i + DISTANCE_ROWS)
+            out[part] = np.sqrt(((rows[part] - centres[np.asarray(own[i : i + DISTANCE_ROWS])]) ** 2).sum(axis=1))
+        return pa.array(out)
+
+    return distance(vector_to_array(F.col(vector), "float32"), F.col(cluster))
+
+
+def distance_limits(df: DataFrame, cluster: str, distance: str, quantile: float, factor: float) -> DataFrame:
+    """(cluster, limit): ``factor`` times the distance that the ``quantile`` of a cluster's members do not exceed.
+
+    The quantile is taken from mergeable summaries; one row per cluster comes out.
+    """
+    return df.groupBy(cluster).agg((F.percentile_approx(distance, quantile, 100_000) * factor).alias("_limit"))
+
+
+def drop_outliers(df: DataFrame, limits: DataFrame, cluster: str, distance: str) -> DataFrame:
+    """NULL in place of the cluster of members beyond its limit. Limits have one row per cluster."""
+    inside = F.coalesce(F.col(distance) <= F.col("_limit"), F.lit(True))
+    return df.join(F.broadcast(limits), cluster, "left").withColumn(cluster, F.when(inside, F.col(cluster))).drop("_limit")
+
+
 def fit_clusters(df: DataFrame, vector: str = "vector", k: int = 20, seed: int = 42) -> KMeansModel:
     return KMeans(featuresCol=vector, predictionCol="_cluster", k=k, seed=seed, maxIter=10).fit(df)
 
 
 def assign_topics(
-    df: DataFrame, vector: str = "vector", k: int = 20, min_topic_size: int = 2, seed: int = 42
+    df: DataFrame, vector: str = "vector", k: int | Sequence[int] = 20, min_topic_size: int = 2, seed: int = 42,
+    outlier_quantile: float | None = None, outlier_factor: float = 1.5,
 ) -> DataFrame:
-    """Cluster the vectors and number the clusters; fewer than two rows are all outliers."""
+    """Cluster the vectors and number the clusters; fewer than two rows are all outliers.
+
+    Of several numbers ``k`` of clusters the one of least penalised cost is taken. With ``outlier_quantile`` a member is
+    an outlier, with topic -1, if it is farther from its centre than ``outlier_factor`` times that quantile of its cluster.
+    """
     if len(df.select(vector).take(2)) < 2:
         return df.withColumn("topic_id", F.lit(OUTLIER))
-    model = fit_clusters(df, vector, k, seed)
-    return number_topics(model.transform(df), "_cluster", min_topic_size).drop("_cluster")
+    model = fit_clusters(df, vector, k, seed) if isinstance(k, int) else choose_clusters(cut_lineage(df.select(vector)), k, vector, seed)
+    found = model.transform(df)
+    if outlier_quantile is not None:
+        found = cut_lineage(found.withColumn("_distance", centre_distance(model, vector)))
+        limits = distance_limits(found, "_cluster", "_distance", outlier_quantile, outlier_factor)
+        found = drop_outliers(found, limits, "_cluster", "_distance").drop("_distance")
+    return number_topics(found, "_cluster", min_topic_size).drop("_cluster")
 
 
 def topic_sizes(df: DataFrame, topic: str = "topic_id") -> DataFrame:

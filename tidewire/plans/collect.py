@@ -14,6 +14,7 @@ from tidewire.operators.hotkeys import MAX_BROADCAST_ROWS, is_short, short_side
 from tidewire.operators.merge import cap_per_feed, new_from_feeds
 from tidewire.operators.quota import quota_by_file
 from tidewire.session import cut_lineage
+from tidewire.sinks.store import UrlStore
 from tidewire.sources.feeds import feed_a_records, feed_b_records
 from tidewire.sources.gkg import read_slots, to_articles
 from tidewire.sources.pages import long_enough, page_text, scrape
@@ -93,12 +94,13 @@ def collect_windows(
 ) -> DataFrame:
     """New articles of each window, every window up to its own quota.
 
-    ``slots`` is (name, file_no, slot) with the windows in the order of their
-    first slot. A URL counts as seen only if its file was really read, so the
+    ``slots`` is (name, file_no, slot), with the windows in the order of ``window_no`` if there is such
+    a column, else of their first slot. A URL counts as seen only if its file was really read, so the
     windows are settled one after the other; each one leaves at most its quota
     plus one file. The feed lines themselves are scanned once for all windows.
     """
-    names = [r[0] for r in slots.groupBy("name").agg(F.min("slot").alias("s")).orderBy("s").select("name").collect()]
+    order = "window_no" if "window_no" in slots.columns else "slot"
+    names = [r[0] for r in slots.groupBy("name").agg(F.min(order).alias("s")).orderBy("s").select("name").collect()]
     quota = target_total // max(len(names), 1)
     relevant = lines.filter(is_web_url(F.col("url")) & mentions_either(F.col("themes"), F.col("url"), keywords))
     listed = to_articles(
@@ -116,6 +118,35 @@ def collect_windows(
     return result
 
 
+def collect_landed_windows(
+    spark: SparkSession, root: str, slots: DataFrame, stored: DataFrame, target_total: int = 10_000,
+    keywords: Sequence[str] = defaults.HISTORICAL_KEYWORDS, layout: str = "{slot}.gkg.csv", scraped_at: Column | None = None,
+) -> DataFrame:
+    """``collect_windows`` over the files landed below ``root``; only those of the listed slots are opened."""
+    return collect_windows(read_slots(spark, root, slots, layout), slots, stored, target_total, keywords, scraped_at)
+
+
+def collect_resumable(
+    spark: SparkSession, root: str, slots: DataFrame, store: UrlStore, keywords: Sequence[str] = defaults.BULK_KEYWORDS,
+    layout: str = "{slot}.gkg.csv", slots_per_batch: int = 1000, max_batches: int | None = None, scraped_at: Column | None = None,
+) -> int:
+    """Collect the listed slots that ``store`` does not record as done, batch by batch; returns how many batches it took.
+
+    Cut off at any point, it goes on with the first slot that was not recorded when it is run again; a run over slots that are
+    all done opens no file. ``slots`` is (file_no, slot), a short list. A URL belongs to the first file that lists it, as in a single read.
+    """
+    slots = slots.withColumn("slot", F.col("slot").cast("string"))
+    done = 0
+    while max_batches is None or done < max_batches:
+        left = cut_lineage(slots.join(store.finished(), "slot", "left_anti").orderBy("file_no").limit(slots_per_batch))
+        if left.isEmpty():
+            break
+        found = relevant_articles(read_slots(spark, root, left, layout), left, keywords, scraped_at)
+        store.append(keep_first(found, "url", *ORDER), slots=left)
+        done += 1
+    return done
+
+
 def pages_of(urls: DataFrame, pages: DataFrame, few: bool) -> DataFrame:
     """(url, html) of the wanted pages. Few URLs are sent to the pages, so only matches are shuffled."""
     html = pages.select("url", "html")

@@ -7,6 +7,7 @@ import uuid
 import zipfile
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -22,8 +23,8 @@ from tidewire.queries.inputs import (
 from tidewire.queries.registry import query, quoted
 from tidewire.functions.text import COMMENT, SPACES, TAG, element_pattern
 from tidewire.session import scratch_path
-from tidewire.sinks import writers
-from tidewire.sources import feeds, gkg, pages, tables
+from tidewire.sinks import store, writers
+from tidewire.sources import archives, feeds, gkg, pages, tables
 from tidewire.sources import slots as slot_lists
 
 STAMP = "2024-06-01 12:00:00"
@@ -89,11 +90,23 @@ def _(t):
     return rows.filter(F.col("url").isNotNull() & filters.mentions_either(F.col("themes"), F.col("url"))).select("url", "themes")
 
 
-def _zip_archive(pdf: pd.DataFrame) -> pd.DataFrame:
-    data = io.BytesIO()
-    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
-        z.writestr("feed.csv", "\n".join(pdf.sort_values("line_no")["value"]) + "\n")
-    return pd.DataFrame({"path": [f"slot-{pdf['archive'].iloc[0]}.zip"], "content": [data.getvalue()]})
+def landed_archives(t, part: str = "true", folder: str | None = None) -> str:
+    """Zip the feed lines into archives on disk, one for the lines of 50 pages, about as one landed file would hold."""
+    folder = folder or scratch_path(t.spark, "zips")
+
+    def write(pdf: pd.DataFrame) -> pd.DataFrame:
+        data = io.BytesIO()
+        with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("feed.csv", "\n".join(pdf.sort_values("line_no")["value"]) + "\n")
+        where, inner = fs.FileSystem.from_uri(folder)
+        where.create_dir(inner, recursive=True)
+        with where.open_output_stream(f"{inner}/slot-{pdf['archive'].iloc[0]}.zip") as out:
+            out.write(data.getvalue())
+        return pdf[["archive"]].head(1)
+
+    lines = feed_lines(t).withColumn("archive", F.floor(F.col("page_id") / 50)).filter(part)
+    lines.groupBy("archive").applyInPandas(write, "archive long").count()
+    return folder
 
 
 @query("src3_zip_members", f"""SELECT 'slot-' || (page_id // 50) || '.zip' AS path,
@@ -101,10 +114,8 @@ def _zip_archive(pdf: pd.DataFrame) -> pd.DataFrame:
   FROM (SELECT l.line_no, l.page_id, p.url, p.tone_csv, l.value FROM ({plain(FEED_LINES)}) l LEFT JOIN ({PARSED}) p USING (line_no))
   QUALIFY value <> ''""")
 def _(t):
-    # An archive holds the lines of 50 pages, about as one landed file would.
-    lines = feed_lines(t).withColumn("archive", F.floor(F.col("page_id") / 50))
-    archives = lines.groupBy("archive").applyInPandas(_zip_archive, "path string, content binary")
-    return gkg.parse_lines(gkg.unzip_lines(archives)).select("path", "line_no", "url", "tone_csv")
+    name = F.substring_index("path", "/", -1).alias("path")
+    return archives.read_zipped_gkg(t.spark, landed_archives(t)).select(name, "line_no", "url", "tone_csv")
 
 
 @query("src4_recent_slots", """SELECT CAST(i AS INTEGER) AS file_no, strftime(time_bucket(INTERVAL 15 MINUTE, last) - i * INTERVAL 15 MINUTE, '%Y%m%d%H%M%S') AS slot
@@ -344,40 +355,40 @@ def _(t):
     return quota.quota_by_file(first_relevant(t), slots(t), 60)[0].select("url", "file_no")
 
 
-@query("stg1_collect_bulk", f"""SELECT url, source, headline, published_at, body, gdelt_tone, themes, file_no, line_no FROM {FIRST}
+@query("lim2_bulk_target", f"""SELECT url, source, headline, published_at, body, gdelt_tone, themes, file_no, line_no FROM {FIRST}
   WHERE file_no IN (SELECT file_no FROM {TRIED})""")
 def _(t):
     lines = parsed_feed(t).withColumnRenamed("file_no", "slot")
     return collect.collect_bulk(lines, slots(t), target=60)[0].drop("scrape_at")
 
 
-@query("stg1_collect_landed", f"""SELECT url, source, headline, published_at, body, gdelt_tone, themes, file_no FROM {FIRST}
+@query("lim2_landed_target", f"""SELECT url, source, headline, published_at, body, gdelt_tone, themes, file_no FROM {FIRST}
   WHERE file_no IN (SELECT file_no FROM {TRIED})""")
 def _(t):
     found, _ = collect.collect_landed(t.spark, landed_in_order(t), named_slots(t), target=60, layout=LAYOUT, first_group=16)
     return found.drop("scrape_at", "line_no")
 
 
-@query("agg6_collection_counters", f"SELECT CAST(sum(n) AS BIGINT) AS total, count(*) AS files_tried FROM {TRIED}")
+@query("lim2_target_counters", f"SELECT CAST(sum(n) AS BIGINT) AS total, count(*) AS files_tried FROM {TRIED}")
 def _(t):
     lines = parsed_feed(t).withColumnRenamed("file_no", "slot")
     return collect.collect_bulk(lines, slots(t), target=60)[1]
 
 
-@query("stg1_collect_bulk_all", f"SELECT url, source, headline, published_at, body, gdelt_tone, themes, file_no, line_no FROM {FIRST}")
+@query("stg1_collect_bulk", f"SELECT url, source, headline, published_at, body, gdelt_tone, themes, file_no, line_no FROM {FIRST}")
 def _(t):
     """Over all slots, as ``run_stages`` does without a target."""
     lines = parsed_feed(t).withColumnRenamed("file_no", "slot")
     return collect.collect_bulk(lines, slots(t), target=collect.MANY)[0].drop("scrape_at")
 
 
-@query("stg1_collect_landed_all", f"SELECT url, source, headline, published_at, body, gdelt_tone, themes, file_no FROM {FIRST}")
+@query("stg1_collect_landed", f"SELECT url, source, headline, published_at, body, gdelt_tone, themes, file_no FROM {FIRST}")
 def _(t):
     found, _ = collect.collect_landed(t.spark, landed_in_order(t), named_slots(t), target=None, layout=LAYOUT)
     return found.drop("scrape_at", "line_no")
 
 
-@query("agg6_collection_counters_all", f"SELECT CAST(sum(n) AS BIGINT) AS total, count(*) AS files_tried FROM {PER_FILE}")
+@query("agg6_collection_counters", f"SELECT CAST(sum(n) AS BIGINT) AS total, count(*) AS files_tried FROM {PER_FILE}")
 def _(t):
     lines = parsed_feed(t).withColumnRenamed("file_no", "slot")
     return collect.collect_bulk(lines, slots(t), target=collect.MANY)[1]
@@ -387,18 +398,24 @@ def _(t):
 STORED = "(SELECT url FROM pages WHERE contains(url, '/es/'))"
 
 
-def _window_cte(k: int) -> str:
+def _window_cte(k: int, place: int) -> str:
+    """The window of slots from 32 * ``place`` on, settled as number ``k``."""
     seen = f"SELECT url FROM {STORED}" + "".join(f" UNION ALL SELECT url FROM took{j}" for j in range(k))
     return f"""seen{k} AS MATERIALIZED ({seen}),
-  fresh{k} AS MATERIALIZED (SELECT * FROM hist WHERE file_no // 32 = {k} AND url NOT IN (SELECT url FROM seen{k})
+  fresh{k} AS MATERIALIZED (SELECT * FROM hist WHERE file_no // 32 = {place} AND url NOT IN (SELECT url FROM seen{k})
     QUALIFY row_number() OVER (PARTITION BY url ORDER BY file_no, line_no) = 1),
-  files{k} AS (SELECT i AS file_no, count(url) AS n FROM range({32 * k}, {32 * k + 32}) r(i) LEFT JOIN fresh{k} f ON f.file_no = i GROUP BY i),
+  files{k} AS (SELECT i AS file_no, count(url) AS n FROM range({32 * place}, {32 * place + 32}) r(i) LEFT JOIN fresh{k} f ON f.file_no = i GROUP BY i),
   took{k} AS MATERIALIZED (SELECT * FROM fresh{k} WHERE file_no IN (SELECT file_no FROM (
     SELECT file_no, coalesce(sum(n) OVER (ORDER BY file_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM files{k}) WHERE before < 25))"""
 
 
-STG2 = f"""WITH hist AS MATERIALIZED (SELECT line_no, file_no, {ARTICLE_FIELDS} FROM ({PARSED}) WHERE {WEB} AND {HISTORICAL}),
-  {_window_cte(0)}, {_window_cte(1)}, {_window_cte(2)}"""
+def _settled(*places: int) -> str:
+    """CTEs of three windows settled in this order."""
+    return f"""WITH hist AS MATERIALIZED (SELECT line_no, file_no, {ARTICLE_FIELDS} FROM ({PARSED}) WHERE {WEB} AND {HISTORICAL}),
+  {", ".join(_window_cte(k, place) for k, place in enumerate(places))}"""
+
+
+STG2 = _settled(0, 1, 2)
 
 
 def window_run(t, stored=None):
@@ -424,20 +441,47 @@ def _(t):
     return names.join(counts, "window", "left").na.fill(0, ["n"])
 
 
-@query("snk5_resume_adds_nothing", f"""{STG2} SELECT url FROM took0 UNION ALL SELECT url FROM took1 UNION ALL SELECT url FROM took2""")
+@query("stg2_landed_windows", f"""{_settled(1, 2, 0)} SELECT * EXCLUDE (line_no) FROM (SELECT *, 'w1' AS "window" FROM took0
+  UNION ALL SELECT *, 'w2' FROM took1 UNION ALL SELECT *, 'w0' FROM took2)""")
 def _(t):
-    # Write, then append a second run over only those slots: nothing new may come of it.
-    path = scratch_path(t.spark, "urls")
-    first = window_run(t)
-    first.select("url").write.parquet(path)
+    """From landed files, the windows in an order of their own: which one keeps a shared URL depends on it."""
+    place = F.floor(F.col("file_no") / 32).cast("int")
+    lists = named_slots(t).withColumns({"name": F.concat(F.lit("w"), place.cast("string")), "window_no": (place + 2) % 3})
     known = t.pages.filter(F.contains("url", F.lit("/es/"))).select("url")
-    lines = parsed_feed(t).withColumn("slot", F.format_string("%03d", "file_no"))
-    read_again = lines.join(first.select("file_no").distinct(), "file_no", "left_semi").drop("file_no")
-    lists = first.select(F.col("window").alias("name"), "file_no", F.format_string("%03d", "file_no").alias("slot")).distinct()
-    stored = known.unionByName(t.spark.read.parquet(path))
-    again = collect.collect_windows(read_again, lists, stored, target_total=75)
-    again.select("url").write.mode("append").parquet(path)
-    return t.spark.read.parquet(path)
+    found = collect.collect_landed_windows(t.spark, landed_in_order(t), lists, known, target_total=75, layout=LAYOUT)
+    return found.drop("scrape_at", "line_no")
+
+
+def resumed(t):
+    """Three runs over the same slots: one that is cut off, one that goes on, one that finds nothing to do."""
+    root, urls = landed_in_order(t), store.UrlStore(t.spark, scratch_path(t.spark, "store"), shards=16)
+    lists, runs = named_slots(t), []
+
+    def go(**limits):
+        collect.collect_resumable(t.spark, root, lists, urls, layout=LAYOUT, slots_per_batch=20, scraped_at=stamp(), **limits)
+        runs.append((urls.finished().count(), urls.read(COLLECTED).count()))
+
+    go(max_batches=2)
+    # Cut off while it writes the third batch: some of its articles are there, its slots are not recorded.
+    lines = gkg.read_slots(t.spark, root, lists.filter("file_no = 41"), LAYOUT)
+    urls.append(collect.relevant_articles(lines, lists, defaults.BULK_KEYWORDS, stamp()), 2)
+    go()
+    go()
+    return urls, runs
+
+
+COLLECTED = "file_no long, line_no long, url string, source string, headline string, published_at string, scrape_at string, body string, gdelt_tone double, themes string"
+
+
+@query("snk5_resumed_store", f"SELECT url, source, published_at, gdelt_tone, themes, file_no, file_no // 20 AS batch FROM {FIRST}")
+def _(t):
+    return resumed(t)[0].read(COLLECTED).select("url", "source", "published_at", "gdelt_tone", "themes", "file_no", "batch")
+
+
+@query("snk5_resume_adds_nothing", f"""SELECT 1::BIGINT AS run, 40::BIGINT AS slots, count(*) AS articles FROM {FIRST} WHERE file_no < 40
+  UNION ALL SELECT unnest([2, 3])::BIGINT, 96, (SELECT count(*) FROM {FIRST})""")
+def _(t):
+    return t.spark.createDataFrame([(i + 1, *r) for i, r in enumerate(resumed(t)[1])], "run long, slots long, articles long")
 
 
 @query("join3_not_stored", f"SELECT page_id, url FROM {LISTED_A} WHERE url NOT IN (SELECT url FROM {STORED})")
@@ -483,7 +527,7 @@ def _(t):
     return merged.select("url", "source", "headline")
 
 
-@query("stg3_scrape_bodies", f"""SELECT seq, headline, md5(body) AS digest FROM (
+@query("lim1_scraped_first", f"""SELECT seq, headline, md5(body) AS digest FROM (
   SELECT l.page_id AS seq, {TITLE} AS headline, {page_text_sql()} AS body FROM (SELECT * FROM pages ORDER BY page_id LIMIT 200) l) WHERE length(body) > 100""")
 def _(t):
     first_of = dedup.keep_first(t.pages, "url", "page_id")
@@ -500,7 +544,7 @@ STG4 = f"""SELECT n.url, n.source, n.headline, md5(coalesce({page_text_sql('p.ht
   UNION ALL SELECT url, NULL, NULL, NULL FROM {STORED}"""
 
 
-@query("stg4_collect_feeds", STG4)
+@query("lim5_collected_with_caps", STG4)
 def _(t):
     a = feeds.feed_a_articles(answers_a(t)).withColumn("seq", 2 * F.col("page_id") + F.col("pos"))
     b = feeds.feed_b_articles(answers_b(t)).withColumn("seq", F.col("page_id"))
@@ -509,7 +553,7 @@ def _(t):
     return merged.select("url", "source", "headline", F.md5("body").alias("digest"))
 
 
-@query("stg3_scrape_bodies_all", f"""SELECT seq, headline, md5(body) AS digest FROM (
+@query("stg3_scrape_bodies", f"""SELECT seq, headline, md5(body) AS digest FROM (
   SELECT page_id AS seq, {TITLE} AS headline, {page_text_sql()} AS body FROM pages) WHERE length(body) > 100""")
 def _(t):
     listed = t.pages.select(F.col("page_id").alias("seq"), "url")
@@ -533,12 +577,12 @@ def feeds_collected(t, **caps):
     return merged.select("url", "source", "headline", F.md5("body").alias("digest"))
 
 
-@query("stg4_collect_feeds_all", _collected(BOTH))
+@query("stg4_collect_feeds", _collected(BOTH))
 def _(t):
     return feeds_collected(t)
 
 
-@query("stg4_collect_feeds_per_answer", _collected(f"""(SELECT * FROM {BOTH}
+@query("lim5_caps_per_answer", _collected(f"""(SELECT * FROM {BOTH}
   QUALIFY row_number() OVER (PARTITION BY feed, CASE feed WHEN 'a' THEN seq // 2 ELSE seq END ORDER BY seq) <= 1)"""))
 def _(t):
     return feeds_collected(t, caps={"a": 1, "b": 1}, answer="page_id")
@@ -610,16 +654,30 @@ def _(t):
     return counts[0].unionByName(counts[1]).unionByName(counts[2]).unionByName(counts[3])
 
 
-@query("str1_incremental_ingest", f"""SELECT DISTINCT trim(url) AS url FROM ({PARSED}) WHERE {WEB} AND {HISTORICAL}""")
+NEW_URLS = f"SELECT DISTINCT trim(url) AS url FROM ({PARSED}) WHERE {WEB} AND {HISTORICAL}"
+
+
+@query("str1_incremental_ingest", NEW_URLS)
 def _(t):
-    from tidewire.streaming.ingest import ingest_stream
+    from tidewire.streaming.ingest import ingest_stream, ingested
 
     src, dst, ckpt = (scratch_path(t.spark, n) for n in ("in", "out", "ckpt"))
     lines = feed_lines(t).select("value", "file_no")
     for part in ("file_no < 50", "file_no >= 50"):
         lines.filter(part).select("value").write.mode("append").text(src)
-        ingest_stream(t.spark, src, dst, ckpt, scraped_at=stamp()).awaitTermination()
-    return t.spark.read.parquet(dst).select("url")
+        ingest_stream(t.spark, src, dst, ckpt, scraped_at=stamp(), shards=16).awaitTermination()
+    return ingested(t.spark, dst, shards=16).select("url")
+
+
+@query("str1_zipped_ingest", NEW_URLS)
+def _(t):
+    from tidewire.streaming.ingest import ingest_stream, ingested
+
+    src, dst, ckpt = (scratch_path(t.spark, n) for n in ("zips", "out", "ckpt"))
+    for part in ("archive % 2 = 0", "archive % 2 = 1"):
+        landed_archives(t, part, src)
+        ingest_stream(t.spark, src, dst, ckpt, scraped_at=stamp(), zipped=True, shards=16).awaitTermination()
+    return ingested(t.spark, dst, shards=16).select("url")
 
 
 @query("stg11_all_stages")

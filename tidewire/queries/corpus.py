@@ -288,6 +288,25 @@ def _(t):
     return found.select("doc_id", "topic_id").join(place, "topic_id").drop("topic_id")
 
 
+# Four far places, one for each language, and a spread around them; one text in 50 lies far outside of it.
+SPREAD = """CASE WHEN doc_id % 50 = 7 THEN CASE WHEN doc_id % 100 = 7 THEN 40.0 ELSE -40.0 END ELSE (doc_id * 37 % 101 - 50) / 5.0 END"""
+
+
+@query("ml4_planted_outliers", f"""WITH placed AS (SELECT doc_id, own, CAST({SPREAD} AS DOUBLE) AS z FROM {BY_LANG}),
+  away AS (SELECT *, abs(z - avg(z) OVER (PARTITION BY own)) AS distance FROM placed),
+  limits AS (SELECT own, 1.5 * quantile_disc(distance, 0.9) AS most FROM away GROUP BY own),
+  judged AS (SELECT a.*, distance > most AS outlier FROM away a JOIN limits USING (own)),
+  topics AS (SELECT own, min(doc_id) AS first_doc, count(*) AS members FROM judged WHERE NOT outlier GROUP BY own)
+  SELECT doc_id, outlier, CASE WHEN NOT outlier THEN first_doc END AS first_doc, CASE WHEN NOT outlier THEN members END AS members
+  FROM judged LEFT JOIN topics USING (own)""")
+def _(t):
+    """The number of clusters is found, too: it is that of the languages."""
+    docs = by_lang(t).withColumn("flags", F.concat(F.transform("flags", lambda x: x * 1000), F.array(F.expr(f"CAST({SPREAD} AS DOUBLE)"))))
+    found = topics.assign_topics(topics.array_vectors(docs, "flags"), k=range(2, 8), min_topic_size=1, outlier_quantile=0.9)
+    sizes = found.filter(F.col("topic_id") >= 0).groupBy("topic_id").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("members"))
+    return found.join(sizes, "topic_id", "left").select("doc_id", (F.col("topic_id") == topics.OUTLIER).alias("outlier"), "first_doc", "members")
+
+
 @query("ml4_topic_clusters")
 def _(t):
     return topics.assign_topics(topics.array_vectors(t.embeddings, "embedding"), k=8).select("vec_id", "topic_id")

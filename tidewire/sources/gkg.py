@@ -44,7 +44,7 @@ def read_gkg(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def unzip_lines(archives: DataFrame) -> DataFrame:
-    """(path, line_no, value): lines of the first entry of each archive, one archive at a time.
+    """(path, line_no, value): lines of the first entry of each archive, for stores that only Spark reads.
 
     ``archives`` is (path, content) as read by ``binaryFile``. Lines leave in
     batches. An archive that cannot be read to its end yields no lines.
@@ -80,12 +80,6 @@ def unzip_lines(archives: DataFrame) -> DataFrame:
     )
 
 
-def read_zipped_gkg(spark: SparkSession, path: str) -> DataFrame:
-    """Fields of zipped feed files; one task per group of archives, since zip cannot be split."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path)
-    return parse_lines(unzip_lines(files.select("path", "content")))
-
-
 def read_slots(spark: SparkSession, root: str, slots: DataFrame, layout: str = "{slot}.gkg.csv") -> DataFrame:
     """Parsed lines of the landed files of the listed slots only, with ``slot`` and ``line_no``.
 

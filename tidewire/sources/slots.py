@@ -22,9 +22,10 @@ def recent_slots(anchors: DataFrame, now: Column, max_files: int = 300) -> DataF
 
 
 def window_slots(windows: DataFrame, every_hours: int = 6) -> DataFrame:
-    """(name, file_no, slot): every sixth hour of each window, both ends included."""
+    """(name, file_no, slot): every sixth hour of each window, both ends included; ``window_no`` is kept if there."""
     at = lambda c: F.to_timestamp(c, "yyyyMMddHHmmss")
     walk = F.sequence(at("start"), at("end"), F.expr(f"INTERVAL {every_hours} HOURS"))
-    return windows.select("name", F.posexplode(walk).alias("file_no", "at")).select(
-        "name", "file_no", slot_name(F.col("at")).alias("slot")
+    keep = [c for c in ("name", "window_no") if c in windows.columns]
+    return windows.select(*keep, F.posexplode(walk).alias("file_no", "at")).select(
+        *keep, "file_no", slot_name(F.col("at")).alias("slot")
     )

@@ -40,4 +40,7 @@ def define_events(spark: SparkSession, events=None) -> DataFrame:
 
 
 def define_windows(spark: SparkSession, windows=None) -> DataFrame:
-    return spark.createDataFrame(defaults.WINDOWS if windows is None else windows, schemas.WINDOWS)
+    """(name, start, end, window_no): the windows, numbered in the given order."""
+    rows = defaults.WINDOWS if windows is None else windows
+    schema = T.StructType(schemas.WINDOWS.fields + [T.StructField("window_no", T.IntegerType())])
+    return spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], schema)

@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from tidewire.operators.dedup import keep_first, not_stored
+from tidewire.operators.dedup import keep_first
 from tidewire.operators.filters import is_web_url, mentions_either
-from tidewire.operators.hotkeys import is_short
+from tidewire.sinks.store import SHARDS, UrlStore
+from tidewire.sources.archives import stream_archives
 from tidewire.sources.gkg import article_columns, parse_lines
-from tidewire.session import cut_lineage
 
 LINE = T.StructType([T.StructField("value", T.StringType())])
-BATCH = "batch_id"
+ARTICLE = "file string, url string, source string, headline string, published_at string, scrape_at string, body string, themes string"
 
 
 def line_stream(spark: SparkSession, src: str, files_per_batch: int = 1000) -> DataFrame:
@@ -24,6 +24,11 @@ def line_stream(spark: SparkSession, src: str, files_per_batch: int = 1000) -> D
     return raw.withColumn("file", F.col("_metadata.file_name"))
 
 
+def archive_line_stream(spark: SparkSession, src: str) -> DataFrame:
+    """Lines of zipped feed files, each archive once as it lands."""
+    return stream_archives(spark, src).select("value", F.substring_index("path", "/", -1).alias("file"))
+
+
 def relevant_articles(lines: DataFrame, relevant: Callable = mentions_either, scraped_at=None) -> DataFrame:
     """Articles of the relevant web URLs among feed lines, with the name of their file."""
     rows = parse_lines(lines).filter(is_web_url(F.col("url")) & relevant(F.col("themes"), F.col("url")))
@@ -31,40 +36,32 @@ def relevant_articles(lines: DataFrame, relevant: Callable = mentions_either, sc
     return rows.select("file", *[c.alias(name) for name, c in record.items()])
 
 
-def _earlier(spark: SparkSession, dst: str, batch: int, schema: T.StructType) -> DataFrame:
-    stored = spark.read.schema(T.StructType(schema.fields + [T.StructField(BATCH, T.LongType())])).parquet(dst)
-    return stored.filter(F.col(BATCH) < batch)
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
-
+def ingest_stream(
+    spark: SparkSession, src: str, dst: str, checkpoint: str, scraped_at=None, relevant: Callable = mentions_either,
+    zipped: bool = False, shards: int = SHARDS,
+) -> StreamingQuery:
+    """Add the new articles of all files, or archives if ``zipped``, not read yet to the store at ``dst`` and stop.
 
-def ingest_stream(spark: SparkSession, src: str, dst: str, checkpoint: str, scraped_at=None) -> StreamingQuery:
-    """Append the new articles of all files not read yet to ``dst`` and stop.
-
-    Every batch writes its own partition of ``dst`` and looks only at earlier
-    ones for known URLs, so a batch repeated after a failure replaces itself.
-    Of the stored articles only the URL column is read.
+    Every batch is a batch of the store: it looks for its URLs in their shards of earlier batches alone, and repeated
+    after a failure it replaces itself.
     """
 
     def append(batch: DataFrame, batch_id: int) -> None:
         fresh = keep_first(batch, "url", "file", "published_at", "source", "themes")
-        session = batch.sparkSession
-        if _exists(session, dst):
-            fresh = cut_lineage(fresh)
-            earlier = _earlier(session, dst, batch_id, batch.schema)
-            fresh = not_stored(fresh, earlier, few_new=is_short(fresh))
-        fresh.write.mode("overwrite").parquet(f"{dst}/{BATCH}={batch_id}")
-
-    articles = relevant_articles(line_stream(spark, src), scraped_at=scraped_at)
+        UrlStore(batch.sparkSession, dst, shards).append(fresh, batch_id)
+
+    lines = archive_line_stream(spark, src) if zipped else line_stream(spark, src)
     return (
-        articles.writeStream.foreachBatch(append)
+        relevant_articles(lines, relevant, scraped_at).writeStream.foreachBatch(append)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 
 
+def ingested(spark: SparkSession, dst: str, shards: int = SHARDS) -> DataFrame:
+    """The articles a stream has added so far."""
+    return UrlStore(spark, dst, shards).read(ARTICLE, recorded=False)
+
+
 def bounded_stream(lines: DataFrame, slot_time, delay: str = "1 day") -> DataFrame:
     """Each URL once within ``delay``: the form whose state does not grow for ever.
 
