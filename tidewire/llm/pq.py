@@ -7,7 +7,12 @@ A vector is compared with a list if the plane halfway between the list's centre
 is no farther than two linked vectors can be apart: no linked vector can lie
 in any other list. In a list, distances are read from tables of one row per
 subspace; codes nearer than the limit and their error allow are compared
-exactly. So centres and words, fitted on a bounded sample, decide how much is compared, never what is found.
+exactly. With all these lists, centres and words, fitted on a bounded sample, decide how much is compared, never what is found.
+
+Two vectors would have to differ along the line between two centres alone to
+need the farthest of these lists. Differences in no special direction have along one line a
+deviation of their length by the root of the number of components, and ``DEVIATIONS`` of these
+are enough for practically all links; None compares with every list.
 """
 
 from __future__ import annotations
@@ -26,7 +31,8 @@ from tidewire.session import cut_lineage
 
 COSINE = 0.95
 SAMPLE_ROWS = 8192  # vectors that centres and words are fitted on
-LIST_ROWS = 128  # vectors per list aimed at, until there are ...
+DEVIATIONS = 4.0
+LIST_ROWS = 256  # vectors per list aimed at, until there are ...
 MAX_LISTS = 4096  # ... so many lists: bounds what each task is sent
 SUBSPACES = 8
 WORDS = 256
@@ -100,10 +106,10 @@ class Quantiser:
 
 
 def fit(rows: DataFrame, lists: int | None = None, sample_rows: int = SAMPLE_ROWS) -> dict[int, Quantiser]:
-    """A quantiser for each width in a sample of ``sample_rows`` vectors, the first ones in the order of a hash."""
+    """A quantiser for each width in a random sample of about ``sample_rows`` vectors."""
     count = rows.count()
     lists = lists or min(MAX_LISTS, max(1, count // LIST_ROWS))
-    sample = rows.select("v").orderBy(F.xxhash64(F.lit(3), "v"), "v").limit(sample_rows).collect()
+    sample = rows.select("v").sample(min(1.0, sample_rows / max(1, count)), seed=3).limit(2 * sample_rows).collect()
     by_width = defaultdict(list)
     for r in sample:
         by_width[len(r.v)].append(r.v)
@@ -124,8 +130,13 @@ def _quantiser(model, width: int) -> Quantiser:
     return own[width]
 
 
-def enter(rows: DataFrame, model, far: float) -> DataFrame:
-    """The entries of all lists (kind 0) and the vectors that each list is asked for (kind 1), from (node, n, v)."""
+def reach(far: float, width: int, deviations: float | None) -> float:
+    """How near the plane between two centres must be, for vectors within ``far`` of each other."""
+    return far if deviations is None else far * min(1.0, deviations / math.sqrt(width))
+
+
+def enter(rows: DataFrame, model, far: float, deviations: float | None = None) -> DataFrame:
+    """The entries of all lists (kind 0) and what else each list is asked for (kind 1, without the vector), from (node, n, v)."""
 
     def run(batches):
         for nodes, counts, vectors in batches:
@@ -138,9 +149,9 @@ def enter(rows: DataFrame, model, far: float) -> DataFrame:
                 own, codes, error = q.encode(x)
                 blobs, node, n = [v.tobytes() for v in x], [nodes[i] for i in at], [counts[i] for i in at]
                 yield [[width] * len(at), own.tolist(), node, n, [0] * len(at), [c.tobytes() for c in codes], error.tolist(), blobs]
-                who, where = q.probes(x, own, far)
+                who, where = q.probes(x, own, reach(far, width, deviations))
                 who = who.tolist()
-                yield [[width] * len(who), where.tolist(), [node[i] for i in who], [n[i] for i in who], [1] * len(who), [None] * len(who), [None] * len(who), [blobs[i] for i in who]]
+                yield [[width] * len(who), where.tolist(), [node[i] for i in who], [n[i] for i in who], [1] * len(who), *[[None] * len(who)] * 3]
 
     return map_rows(rows, run, ENTRY)
 
@@ -189,7 +200,7 @@ def meet(entries: DataFrame, model, cosine: float, far: float) -> DataFrame:
         F.count(F.when(F.col("kind") == 0, 1)).alias("held"), F.count("*").alias("asked"))
     # One row per list: bounded by the number of lists and widths.
     sizes = sizes.select("width", "list", F.ceil(F.col("held") / PIECE_ROWS).cast("int").alias("pieces"), F.ceil(F.col("asked") / ASKED_ROWS).cast("int").alias("slices"))
-    cut = entries.join(sizes, ["width", "list"]).filter("pieces > 0")
+    cut = entries.drop("vector").join(sizes, ["width", "list"]).filter("pieces > 0")
     own = F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int")
     turn = F.pmod(F.xxhash64(F.lit(1), "node"), F.col("slices")).cast("int")
     span = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
@@ -197,6 +208,7 @@ def meet(entries: DataFrame, model, cosine: float, far: float) -> DataFrame:
     asked = cut.withColumn("slice", turn).withColumn("piece", F.explode(span("pieces")))
     # Who is of the list asks as kind 1, who is not as kind 2; both after the entries.
     both = held.unionByName(asked.withColumn("kind", F.col("kind") + F.lit(1).cast("byte")))
+    both = both.join(entries.filter("kind = 0").select("node", "vector"), "node")
     keys = ["width", "list", "piece", "slice"]
     shuffles = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = both.select(*keys, "kind", "node", "n", "codes", "error", "vector").repartition(shuffles, *keys).sortWithinPartitions(*keys, "kind")
@@ -241,13 +253,15 @@ def meet(entries: DataFrame, model, cosine: float, far: float) -> DataFrame:
 
 def near_duplicates(
     vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", cosine: float = COSINE,
-    lists: int | None = None, sample_rows: int = SAMPLE_ROWS,
+    lists: int | None = None, sample_rows: int = SAMPLE_ROWS, deviations: float | None = DEVIATIONS,
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept): every row of ``vectors`` with its class of near copies.
 
     Rows link if their cosine, in doubles, is at least ``cosine`` and they have the same number of components.
     ``n_links`` counts the other rows linked directly, equal ones among them, ``component_id`` is the smallest id
     reached over links, the own included, and ``kept`` tells the rows that have it.
+    Pairs no farther apart than ``deviations`` divided by the root of the number of components, times the largest distance
+    of a link, are all found, others unless they differ along the line between two centres; None finds all.
     Equal vectors are looked at once and count as often as they occur. A vector that is null, empty or zero, or holds
     null or non-finite components, links with nothing, and neither does a row without an id; its component is its own id.
     Rows that repeat an id are rows of their own. An empty table gives no rows.
@@ -260,7 +274,7 @@ def near_duplicates(
     folded = good.groupBy("v").agg(F.count("*").alias("n"), F.min("vec_id").alias("least"))
     folded = cut_lineage(folded.select(F.monotonically_increasing_id().alias("node"), "n", "least", "v"))
     model = spark.sparkContext.broadcast(fit(folded, lists, sample_rows))
-    entries = cut_lineage(enter(folded.select("node", "n", "v"), model, far))
+    entries = cut_lineage(enter(folded.select("node", "n", "v"), model, far, deviations))
     found = cut_lineage(meet(entries, model, cosine, far))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     stars = components(found.filter("low IS NOT NULL").select(F.col("node").alias("u"), F.col("low").alias("v")).distinct())
