@@ -61,45 +61,54 @@ PHRASES = [
 
 
 @pytest.mark.parametrize("least, top", [(1, 50), (2, 3), (3, 2000)])
-def test_collocations_equal_plain_counts(spark, monkeypatch, least, top):
-    monkeypatch.setattr(collocations, "OUT_ROWS", 7)
+def test_collocations_equal_plain_counts(spark, least, top):
     found = collocations.collocations(docs_of(spark, PHRASES), least=least, top=top)
     assert found.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
     assert sorted(map(tuple, found.collect())) == plain_collocations(PHRASES, least, top)
 
 
-def test_stream_split_anywhere_gives_the_same_counts(spark):
+@pytest.mark.parametrize("part_bytes", [10**9, 600, 40])
+def test_stream_split_anywhere_gives_the_same_counts(spark, part_bytes):
     rng = random.Random(3)
-    rows = [(i, " ".join(rng.choice("the of a b c d".split()) for _ in range(60)), "en") for i in range(40)]
-    runs = collocations.count_runs(docs_of(spark, rows), "lang", "text").cache()
-    one = sorted(map(tuple, collocations.merge_runs(runs, 4, part_rows=10**9).collect()))
-    assert one == sorted(map(tuple, collocations.merge_runs(runs, 4, part_rows=3).collect())) and len(one) > 30
+    rows = [(i, " ".join(rng.choice("the of a b c d".split()) for _ in range(60)), rng.choice(["en", "e", "en\x00"])) for i in range(40)]
+    found = sorted(map(tuple, collocations.counts_of(docs_of(spark, rows), "lang", "text", 4, part_bytes).collect()))
     counts = Counter()
-    for _, t, _ in rows:
+    for _, t, g in rows:
         w = t.split()
-        counts.update(tuple([f"en\t{w[i]}", *w[i + 1 : i + k], "", ""][:3]) for k in (1, 2, 3) for i in range(len(w) - k + 1))
-    assert [r for r in one if r[0] != "en\t"] == sorted((*w, n) for w, n in counts.items() if n >= 4)
+        counts.update((g, *[*w[i : i + k], "", ""][:3]) for k in (1, 2, 3) for i in range(len(w) - k + 1))
+    assert [r for r in found if r[1]] == sorted((*w, n) for w, n in counts.items() if n >= 4) and len(found) > 30
+
+
+def test_too_many_words_for_one_key(monkeypatch):
+    run = collocations.Run()
+    run.add("en", b"b a c a b a c b b a b a")
+    rows = [(b" ".join(named), b"".join(w.astype(np.uint32).tobytes() for w in collocations.split_key(key)), n.astype("<u4").tobytes()) for _, named, key, n in run.windows()]
+    rows = [tuple(map(collocations.squeeze, r)) for r in rows] * 2
+    named, words, counts = collocations.merged(rows)
+    monkeypatch.setattr(collocations, "RUN_WORDS", 1)
+    again = collocations.merged(rows)
+    assert named == again[0] and np.array_equal(words, again[1]) and np.array_equal(counts, again[2]) and counts[0] == 24
 
 
 def test_runs_cut_inside_a_piece_lose_no_window(monkeypatch):
-    words = [random.Random(5).choice(["ab", "c", "the"]) for _ in range(900)]
-    counts = Counter()
-    own, data = collocations.Run(), " ".join(words).encode() + b" "
+    words = [random.Random(5 + i).choice(["ab", "c", "the"]) for i in range(900)]
     monkeypatch.setattr(collocations, "RUN_PLACES", 50)
+    own, counts, runs = collocations.Run(), Counter(), 0
+
+    def count(windows):
+        for _, named, key, n in windows:
+            for *w, k in zip(*collocations.split_key(key), n, strict=True):
+                counts[tuple(named[i].decode() for i in w)] += int(k)
+
     for i in range(0, 900, 9):
         own.add("en", " ".join(words[i : i + 9]).encode())
         if own.full():
-            for c in own.rows("en"):
-                counts.update({tuple(r[:3]): 0 for r in zip(*[x.to_pylist() for x in c])})
-                for a, b, d, n in zip(*[x.to_pylist() for x in c]):
-                    counts[a, b, d] += n
-            own = own.following("en")
-    for c in own.rows():
-        for a, b, d, n in zip(*[x.to_pylist() for x in c]):
-            counts[a, b, d] += n
-    wanted = Counter(("en\t" + words[i], *[*words[i + 1 : i + 3], "", ""][:2]) for i in range(900))
-    wanted["en\t", "", ""] = 900
-    assert counts == wanted and data
+            count(own.windows("en"))
+            own, runs = own.following("en"), runs + 1
+    count(own.windows())
+    wanted = Counter((words[i], *[*words[i + 1 : i + 3], "", ""][:2]) for i in range(900))
+    wanted["", "", ""] = 900
+    assert counts == wanted and runs > 10
 
 
 def test_collocations_of_nothing(spark):
@@ -160,6 +169,18 @@ def test_links_equal_all_pairs(spark, monkeypatch, lists):
     assert sorted(map(tuple, found.collect()), key=str) == expected and sum(r[1] > 0 for r in expected) > 100
 
 
+def test_recall_near_the_limit(spark):
+    rng = np.random.default_rng(4)
+    base = pq.unit(rng.normal(size=(3000, 64)))
+    side = rng.normal(size=base.shape)
+    side = pq.unit(side - (side * base).sum(axis=1, keepdims=True) * base)
+    angle = np.arccos(rng.uniform(0.95, 0.97, (3000, 1)))
+    rows = list(enumerate(np.concatenate([base, np.cos(angle) * base + np.sin(angle) * side]).tolist()))
+    found = {r.vec_id: r.component_id for r in pq.near_duplicates(vectors_of(spark, rows), lists=200).collect()}
+    caught = sum(found[i + 3000] == i for i in range(3000))
+    assert caught >= 0.995 * 3000
+
+
 def test_lists_left_out_hold_no_linked_vector_and_most_codes_are_left_out():
     x = pq.unit(np.random.default_rng(1).normal(size=(6000, 64)))
     x[3000:] = pq.unit(x[:3000] + 0.03 * np.random.default_rng(2).normal(size=(3000, 64)))

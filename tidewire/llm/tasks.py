@@ -22,13 +22,13 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def map_rows(df: DataFrame, fn: Callable[[Iterator[list[list]]], Iterable[list]], schema: str) -> DataFrame:
-    """``fn`` gets an iterator of batches, each a list of columns, and yields lists of columns of ``schema``."""
+    """``fn`` gets an iterator of batches, each a list of columns, and yields lists of columns of ``schema``, as lists or arrays of Arrow."""
     small_batches(df.sparkSession)
     arrow = to_arrow_schema(T._parse_datatype_string(schema))
 
     def run(batches):
         for out in fn([c.to_pylist() for c in b.columns] for b in batches):
-            columns = [pa.array(c, type=f.type) for c, f in zip(out, arrow, strict=True)]
+            columns = [c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(out, arrow, strict=True)]
             yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
     return df.mapInArrow(run, schema)
