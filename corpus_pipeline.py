@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import mixing, nearcopies, packing, secrets, toxicity
+from tidewire.llm import mixing, packing, secrets, simhash, toxicity
 from tidewire.session import cut_lineage
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -22,8 +22,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies stays: five-word shingles with a similarity of 0.8 or more."""
-    return nearcopies.keep_one(docs).select(*COLUMNS)
+    """One document stays of each class that links of fingerprints of four-word shingles connect, at four bits or fewer."""
+    return simhash.keep_one(docs).select(*COLUMNS)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
