@@ -65,11 +65,27 @@ ODD = ["a\n", "\n", "  a", "a  b", " a", "a ", "\ta b", "a \tb", "a\t b", "a\r\n
        "\x1c a \x1cb", "a\n\nb", "a\n b", "1234 56 a1b2,", "日本語 テキスト", "😀 x😀y", "a\x85b c", "x\xa0y z", "a.b, c.. d!? 'tis", "ab\n,\ncd"]
 
 
+PIECES = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endof", "İ", "BELGESİ", "ı", "ß", "ŉ", "ﬁ", "\u0301", "\u0307", "e\u0301", "\u200d", "\u3000", "\xa0", "\t", "\r\n",
+          "\n", " ", "  ", "'s", "'LL", "don't", ".", ",", "!?", ";", ":", "a", "Word", "word", "x1", "12", "日本", "😀", "é", "Ω", "ǅ", "#", "-", "\x00", "\x1c", "\u0130,", "\u1e9e"]
+
+
+def odd_texts(seed, count):
+    rng = np.random.default_rng(seed)
+    for _ in range(count):
+        joint = ["", " ", "\n"][rng.integers(3)]
+        yield joint.join(PIECES[i] for i in rng.integers(0, len(PIECES), rng.integers(1, 9)))
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
-def test_word_by_word_equals_whole_texts(texts, name):
-    e = tokens.encoder(name)
-    some = [t or "" for t in texts.values()] + ODD + [t or "" for t in TEXTS]
-    assert e.encode_all(some) == [e.whole(t) for t in some]
+def test_ids_are_those_of_the_library(texts, name):
+    """Against a fresh tokenizer in its own settings."""
+    fresh = __import__("tokenizers").Tokenizer.from_file(__import__("public_tokenizers").path(name))
+    e = tokens.Encoder(__import__("public_tokenizers").path(name))
+    some = [t or "" for t in texts.values()] + ODD + [t or "" for t in TEXTS] + list(odd_texts(7, 20_000))
+    for i in range(0, len(some), 512):
+        part = some[i : i + 512]
+        found = [np.frombuffer(x, np.uint32).tolist() for x in e.encode_all(part)]
+        assert found == [x.ids for x in fresh.encode_batch(part, add_special_tokens=False)]
 
 
 def test_memory_of_words_is_bounded(monkeypatch):
@@ -428,6 +444,35 @@ def test_vantage_trees(spark):
     relaxed = found(vptree.nearest(rows, rows.filter("vec_id % 20 = 0")))
     assert np.mean([len(set(relaxed[q]) & set(e)) / len(e) for q, e in expected.items()]) >= 0.9
     assert vptree.nearest(rows.limit(0), rows.limit(0)).count() == 0
+    # Many small shards, and queries that occur twice or share an id.
+    many = rows.unionByName(rows.filter("vec_id % 40 = 0"))
+    assert found(vptree.nearest(rows, many.filter("vec_id % 20 = 0"), factor=1.0, block_rows=16)) == expected
+
+
+def test_queries_with_one_id(spark):
+    rows = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(9)] + [(3, [-5.0, 1.0])], "vec_id long, v array<double>")
+    asked = spark.createDataFrame([(3, [3.0, 1.0]), (3, [-5.0, 1.0]), (3, [3.0, 1.0])], "vec_id long, v array<double>")
+    for hits in (vptree.nearest(rows, asked, 4, factor=1.0), vectors.search(rows, asked, maxscore.MaxScore, 4, "double")):
+        assert [(r.rank, r.vec_id) for r in hits.orderBy("rank").collect()] == [(1, 0), (2, 1), (3, 2), (4, 4)]
+
+
+def test_vantage_trees_leave_out_what_is_far():
+    """Rows in clusters: most leaves are never looked at, at factor 1 too, and nothing is lost."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(64, 16))
+    matrix = np.repeat(centres, 100, axis=0) + 0.05 * rng.normal(size=(6400, 16))
+    matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
+    ids, asked = np.arange(6400), np.arange(0, 6400, 20)
+    tree = vptree.VantageTree(ids, matrix, 1.0, 64)
+    number, found_ids, _ = tree(asked, matrix[asked], np.full(len(asked), -np.inf), 20)
+    product = matrix[asked] @ matrix.T
+    product[np.arange(len(asked)), asked] = -np.inf
+    best = np.argsort(-product, axis=1, kind="stable")[:, :20]
+    assert all(set(found_ids[number == i]) == set(best[i]) for i in range(len(asked)))
+    assert tree.visits < 0.35 * len(asked) * len(ids)
+    shards = vptree.Shards(matrix[::3], 1.0, 32)
+    home = shards.home(shards.away(shards.lifted(matrix)))
+    assert len(set(home.tolist())) == 32 and np.bincount(home).max() < 600
 
 
 def test_vantage_tree_recall(spark):
@@ -473,6 +518,20 @@ def test_ownership_tells_copies_from_own_secrets(spark):
     assert all(got[10 + i].spans == "assign:31:57" and got[10 + i].n_copied == 1 and got[10 + i].n_live == 0 for i in range(5))
 
 
+def test_ownership_counts_repositories_too(spark):
+    """A value in many repositories of one owner is copied; the counts are those of a plain count."""
+    wide, own = "Zk9fQ2xLmP07aBcDvX3w", "Qw8eRt5yUi2oPa6sDf4g"
+    rows = [(i, f"key {wide} and token={wide[::-1]}", "a", f"r{i}") for i in range(4)] + [(9, f"key {own} and token={own[::-1]}", "a", "r1"), (8, f"see {own}", "a", "r2"), (7, f"{own[::-1]}: password=none12345", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, repo string").withColumns({c: F.lit("x") for c in ("_row", "_spans", "row", "spans", "whole")})
+    got = {r.doc_id: r for r in secrets.report(secrets.scan(docs, repository="repo")).collect()}
+    for i in range(4):
+        assert (got[i].spans, got[i].n_copied, got[i].n_live, got[i].n_owners, got[i].n_repositories) == ("assign:29:55", 1, 0, [1], [4])
+    assert got[9].spans == "owned:4:24,assign:29:55" and got[9].n_live == 1 and got[9].n_copied == 0
+    assert (got[9].n_owners, got[9].n_repositories) == ([1, 2], [2, 2]) and got[8].spans == "owned:4:24"
+    masked = {r.doc_id: r.text for r in secrets.redact(docs, repository="repo").collect()}
+    assert masked[0] == f"key {wide} and [SECRET]" and masked[9] == "key [SECRET] and [SECRET]" and masked[7] == f"{own[::-1]}: [SECRET]"
+
+
 def test_secrets_edge(edge, none):
     assert ids_of(secrets.report(secrets.scan(edge))) == ALL_IDS
     assert secrets.report(secrets.scan(none)).count() == 0
@@ -535,6 +594,15 @@ def test_links_of_crowded_files(spark, part_rows):
     assert sorted(map(sorted, mine.values())) == sorted(map(sorted, plain.values()))
 
 
+def test_one_id_with_two_texts(spark):
+    one, two, three = "a text of some words in a row", "quite another one with its own words", "the third of them is like none before"
+    rows = [(1, one, "x"), (1, two, "x"), (2, two, "x"), (3, one, "x"), (4, three, "x"), (4, three, "x"), (None, three, "x"), (None, "alone with its words here", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, whole string").withColumns({c: F.lit(1) for c in ("order", "key1", "fp", "component", "r", "k")})
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(1, one), (1, two), (4, three), (None, "alone with its words here")])
+
+
 def test_near_duplicates_edge(edge, none):
     rows = simhash.near_duplicates(edge).collect()
     assert Counter(r.doc_id for r in rows) == ALL_IDS
@@ -542,5 +610,7 @@ def test_near_duplicates_edge(edge, none):
     assert [by_id[i].fingerprint for i in (0, 1, 2)] == ["0" * 16] * 3 and {by_id[i].component_id for i in (0, 1, 2)} == {0}
     assert by_id[4].component_id == 3 and by_id[7].component_id == 6
     kept = simhash.keep_one(edge)
-    assert ids_of(kept)[6] == 1 and ids_of(kept)[7] == 0 and ids_of(kept)[None] == 2 and kept.columns == edge.columns
+    assert ids_of(kept)[6] == 1 and ids_of(kept)[7] == 0 and kept.columns == edge.columns
+    # Without an id: one text of its own stays, the null one is a copy of other empty ones.
+    assert ids_of(kept)[None] == 1
     assert simhash.near_duplicates(none).count() == 0 and simhash.keep_one(none).count() == 0

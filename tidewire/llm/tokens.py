@@ -3,7 +3,9 @@
 Both vocabularies used here never join text across a blank that is followed by
 a visible character, so a text may be cut there and its words encoded one by one.
 Most words of a corpus repeat, which makes looking them up far cheaper than
-encoding them again. The tests hold the result against whole texts.
+encoding them again. New words are encoded in one text, set apart by a special
+token, on both sides of which the library begins anew. Texts for which this may not hold are encoded whole: those
+with the text of a special token in them, or unusual white space. The tests hold the result against whole texts.
 """
 
 from __future__ import annotations
@@ -11,7 +13,10 @@ from __future__ import annotations
 import os
 from array import array
 
+import numpy as np
+
 MAX_WORDS = 1_000_000
+TOGETHER = 512  # words encoded in one text
 LONG_WORD = 24  # longer words hardly ever come again
 MARKS = ".,;:!?"
 # White space other than blank and line end, and two of these together: such texts are encoded whole.
@@ -24,17 +29,23 @@ def is_odd(text: str) -> bool:
     return text[:1].isspace() or text[-1:].isspace() or any(d in text for d in DOUBLE) or any(c in text for c in OTHER_SPACE)
 
 
+def ends_in_letter(word: str) -> bool:
+    """Whether the last character is a letter and stays one letter when it is made small."""
+    small = word[-1:].lower()
+    return len(small) == 1 and small.isalpha()
+
+
 class WordIds(dict):
     """Little-endian 32-bit ids of words, as bytes; holds at most ``MAX_WORDS`` and the new ones of one call, then forgets all.
 
     A word is stored without the blank before it; one that begins a line has
-    the line end in front. A mark after a letter is always a token of its own, so ``word,`` is
+    the line end in front. A mark after a letter is a token of its own, so ``word,`` is
     looked up as ``word`` and ``,``. Where case makes no difference, ASCII words share their lower-case form.
     """
 
-    def __init__(self, tokenizer, lead: str, caseless: bool):
+    def __init__(self, tokenizer, lead: str, caseless: bool, special: tuple[str, int] | None):
         super().__init__()
-        self.tokenizer, self.lead, self.caseless = tokenizer, lead, caseless
+        self.tokenizer, self.lead, self.caseless, self.special = tokenizer, lead, caseless, special
         self.marks = {m: self._encode(m) for m in MARKS}
         self.newline = self._encode("\n")
 
@@ -43,43 +54,56 @@ class WordIds(dict):
 
     def core(self, word: str) -> str:
         """The part of a word that has to be encoded."""
-        if word[-1:] in self.marks and word[-2:-1].isalpha():
+        if word[-1:] in self.marks and ends_in_letter(word[:-1]):
             word = word[:-1]
         return word.lower() if self.caseless and word.isascii() else word
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= MAX_WORDS:
-            self.clear()
-        core = self.core(word)
-        if core == word:
-            ids = self.newline + self._encode(word[1:]) if word[:1] == "\n" else self._encode(self.lead + word)
-        else:
-            ids = self[core] + (self.marks[word[-1]] if len(core) < len(word) else b"")
-        if len(word) <= LONG_WORD:
-            self[word] = ids
-        return ids
-
-    def learn(self, words: set[str]) -> None:
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """The ids of each word."""
+        if self.special is None:
+            return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch([self.lead + w for w in words], add_special_tokens=False)]
+        text, number = self.special
+        joined = text.join([self.lead + w for w in words])
+        ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.flatnonzero(ids == number)
+        if len(ends) != len(words) - 1:
+            raise ValueError("a word has the special token in it")
+        data, ends = ids.tobytes(), (4 * ends).tolist()
+        return [data[a:b] for a, b in zip([0, *(e + 4 for e in ends)], [*ends, len(data)], strict=True)]
+
+    def learn(self, words: list[str]) -> None:
         """Encode ``words``, none of which is known, together."""
-        new = set(map(self.core, words))
-        if len(self) + 2 * len(new) > MAX_WORDS:
+        if len(self) + 2 * len(words) > MAX_WORDS:
             self.clear()
-        new = [w for w in new if w not in self and w[:1] != "\n"]
-        lead, step = self.lead, 4096
-        for i in range(0, len(new), step):
-            part = new[i : i + step]
-            found = self.tokenizer.encode_batch([lead + x for x in part] if lead else part, add_special_tokens=False)
-            self.update(zip(part, [array("I", e.ids).tobytes() for e in found], strict=True))
+            self[""] = b""
+        cores = list(map(self.core, words))
+        lines = [w for w, c in zip(words, cores, strict=True) if c == w and w[:1] == "\n"]
+        new = list({c for c in cores if c not in self and c[:1] != "\n"})
+        for i in range(0, len(new), TOGETHER):
+            part = new[i : i + TOGETHER]
+            self.update(zip(part, self.encode_words(part), strict=True))
+        for w in lines:
+            self[w] = self.newline + self._encode(w[1:])
+        for w, c in zip(words, cores, strict=True):
+            if c is not w and c != w:
+                if c not in self:  # begins a line
+                    self[c] = self.newline + self._encode(c[1:])
+                self[w] = self[c] + (self.marks[w[-1]] if len(c) < len(w) else b"")
 
     def encode(self, texts: list[list[str]]) -> list[bytes]:
         """The ids of texts given as words."""
-        found = [list(map(self.get, words)) for words in texts]
-        gaps = [[i for i, ids in enumerate(f) if ids is None] if None in f else () for f in found]
-        self.learn({w[i] for w, own in zip(texts, gaps, strict=True) for i in own})
-        for words, ids, own in zip(texts, found, gaps, strict=True):
-            for i in own:
-                ids[i] = self[words[i]]
-        return [b"".join(f) for f in found]
+        words = set().union(*texts)
+        new = [w for w in words if w not in self]
+        if new:
+            if len(self) + 2 * len(new) > MAX_WORDS:
+                new = list(words)
+            self.learn(new)
+        out = [b"".join(map(self.__getitem__, t)) for t in texts]
+        for w in new:
+            if len(w) > LONG_WORD:
+                self.pop(w, None)
+                self.pop(self.core(w), None)
+        return out
 
 
 class Encoder:
@@ -90,19 +114,28 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.spaced = self.whole("a b") != self.whole("a") + self.whole("b")
-        self.ids = WordIds(self.tokenizer, " " if self.spaced else "", self.whole("Ab") == self.whole("ab"))
+        self.caseless = self.whole("Ab") == self.whole("ab")
+        added = [(t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items()]
+        self.contents = [c.lower() if self.caseless else c for c, _ in added]
+        self.ids = WordIds(self.tokenizer, " " if self.spaced else "", self.caseless, added[0] if added else None)
+        self.ids[""] = b""
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def is_special(self, text: str) -> bool:
+        """Whether the text of a special token is in this one."""
+        text = text.lower() if self.caseless else text
+        return any(c in text for c in self.contents)
+
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Ids of each text."""
         if not self.spaced:
-            self.ids[""] = b""
-            return self.ids.encode([t.replace("\n", " ").split(" ") for t in texts])
-        odd = [not t or is_odd(t) for t in texts]
+            special = [self.is_special(t) for t in texts]
+            found = self.ids.encode([[] if s else t.replace("\n", " ").split(" ") for t, s in zip(texts, special, strict=True)])
+            return [self.whole(t) if s else ids for t, s, ids in zip(texts, special, found, strict=True)]
+        odd = [not t or is_odd(t) or self.is_special(t) for t in texts]
         words = [[] if o else t.replace("\n", " \n").split(" ") for t, o in zip(texts, odd, strict=True)]
         rest = self.ids.encode([w[1:] for w in words])
         return [self.whole(t if o else w[0]) + r for t, o, w, r in zip(texts, odd, words, rest, strict=True)]

@@ -26,6 +26,8 @@ from tidewire.session import shared_dir
 MAGIC = b"WVMX0001"
 BLOCK = 512  # bits between two entries of a plane's rank directory
 SHARD_TOKENS = 2_000_000
+RANGE_ROWS = 8192  # documents per task that writes, unless there are more tasks anyway
+READ_FILES = 4  # files per task that reads
 
 
 def build(ids: np.ndarray) -> tuple[int, list[int], list[np.ndarray]]:
@@ -144,11 +146,11 @@ class Shard:
         """All ids, in order."""
         order = np.zeros(self.n, np.uint16 if self.levels <= 16 else np.uint32)
         for level in range(self.levels - 1, -1, -1):
-            bit = np.unpackbits(self.plane(level)[0], count=self.n)
-            ones = np.cumsum(bit, dtype=np.int32)
-            places = np.arange(self.n, dtype=np.int32)
-            source = np.where(bit, self.zeros[level] - 1 + ones, places - ones)
-            order = order.take(source) | (bit.astype(order.dtype) << (self.levels - 1 - level))
+            bit = np.unpackbits(self.plane(level)[0], count=self.n).view(bool)
+            before = np.empty_like(order)
+            before[~bit] = order[: self.zeros[level]]
+            before[bit] = order[self.zeros[level] :] | order.dtype.type(1 << (self.levels - 1 - level))
+            order = before
         return order
 
 
@@ -167,7 +169,7 @@ def write_token_files(
     spark = docs.sparkSession
     folder = folder or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    parts = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // RANGE_ROWS))
     ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
     end = np.uint32(end_id).tobytes()
 
@@ -203,8 +205,7 @@ def write_token_files(
 def read_token_files(manifest: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids): every document of the files; ids are little-endian 32-bit, as bytes.
 
-    ``start`` counts the ids of all documents before. Only the sizes of the
-    files, one row each, are summed up in one place.
+    ``start`` counts the ids of all documents before.
     """
 
     def read(batches):
@@ -217,9 +218,13 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                     s, e = starts[i : i + 256], ends[i : i + 256]
                     yield [shard.names[i : i + 256], (s + base).tolist(), (e - s).tolist(), [ids[p:q].tobytes() for p, q in zip(s, e, strict=True)]]
 
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    sized = manifest.withColumn("base", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
-    tasks = sized.select("path", "base").repartition(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # Sizes are summed within each range of documents first; only one row per range meets in one place.
+    inside = Window.partitionBy("part").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = manifest.groupBy("part").agg(F.sum("tokens").alias("all")).withColumn("first", F.coalesce(F.sum("all").over(before), F.lit(0)))
+    sized = manifest.join(ranges, "part").withColumn("base", F.col("first") + F.coalesce(F.sum("tokens").over(inside), F.lit(0)))
+    files = max(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-manifest.count() // READ_FILES))
+    tasks = sized.select("path", "base").repartition(files)
     return map_rows(tasks, read, "doc_id long, start long, n_tokens long, ids binary")
 
 
