@@ -34,7 +34,7 @@ class MaxScore:
         self.ids, self.terms = ids[order], np.ascontiguousarray(matrix[order].T)
         self.low, self.high = self.terms.min(axis=1), self.terms.max(axis=1)
 
-    def __call__(self, asked: np.ndarray, queries: np.ndarray, k: int):
+    def __call__(self, asked: np.ndarray, queries: np.ndarray, limits: np.ndarray, k: int):
         """Each query's k best rows other than its own. Sums of whole numbers below 2**53 are exact in doubles."""
         numbers, found, scores = [], [], []
         for i, (own, query) in enumerate(zip(asked, queries, strict=True)):
@@ -71,7 +71,7 @@ class MaxScore:
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """(query_id, rank, vec_id, score long): exact, over (vec_id, v) rows of whole numbers as doubles.
 
-    A row is never its own answer; rows that share a query's id are its own too.
+    A row is never its own answer; rows that share a query's id are its own too, and of queries with one id the smallest vector counts.
     With fewer rows than ``k``, all are returned. No rows, no results.
     """
     return search(vectors, queries, MaxScore, k, "long")

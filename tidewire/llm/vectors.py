@@ -13,6 +13,7 @@ from tidewire.session import cut_lineage
 
 BLOCK_ROWS = 8192
 QUERY_ROWS = 512
+SLICE_BLOCKS = 8  # blocks of queries that one task puts to a block of rows
 PAIR = "query_id long, vec_id long, score {}"
 
 
@@ -28,59 +29,92 @@ def usable(vectors: DataFrame, vec_id: str, embedding: str, zero: bool) -> DataF
     return rows.filter(keep if zero else keep & F.exists(v, lambda x: x != 0))
 
 
-def pack(rows: DataFrame, block_rows: int) -> tuple[DataFrame, int]:
-    """(block, width, ids, matrix): the rows of (vec_id, v) in blocks of about ``block_rows``, as bytes; and how many blocks.
+def one_per_id(queries: DataFrame) -> DataFrame:
+    """(vec_id, v): of queries that share an id, the one with the smallest vector counts."""
+    return queries.groupBy("vec_id").agg(F.min("v").alias("v"))
+
+
+def in_blocks(rows: DataFrame, block_rows: int, *keys: str) -> DataFrame:
+    """``rows`` with ``block``: those with equal ``keys`` in blocks of about ``block_rows``, numbered from 0, by a hash of the row."""
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    blocks = F.ceil(F.col("_n") / block_rows).cast("int")
+    return rows.join(sizes, list(keys)).withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), blocks).cast("int")).drop("_n")
 
-    Vectors of different lengths never share a block.
-    """
-    blocks = max(1, -(-rows.count() // block_rows))
+
+def pack(rows: DataFrame, block_rows: int) -> DataFrame:
+    """(shard, width, block, ids, matrix, limits): rows of (shard, width, vec_id, v, limit) in blocks, as bytes."""
+    keys = ["shard", "width", "block"]
+    cut = in_blocks(rows, block_rows, "shard", "width").select(*keys, "vec_id", "v", "limit")
+    shuffles = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
-        from pyspark import TaskContext
+        at, held = None, ([], [], [])
 
-        part, held = TaskContext.get().partitionId(), {}
-        for ids, values in batches:
-            for i, v in zip(ids, values, strict=True):
-                own = held.setdefault(len(v), ([], []))
-                own[0].append(i)
-                own[1].append(v)
-        for width, (ids, values) in held.items():
-            yield [[part], [width], [np.array(ids, "<i8").tobytes()], [np.array(values, "<f8").tobytes()]]
+        def block():
+            return [[k] for k in at] + [[np.array(x, t).tobytes()] for x, t in zip(held, ("<i8", "<f8", "<f8"), strict=True)]
 
-    return cut_lineage(map_rows(rows.repartition(blocks), run, "block int, width int, ids binary, matrix binary")), blocks
+        for row in (r for b in batches for r in zip(*b, strict=True)):
+            if row[:3] != at:
+                if at is not None:
+                    yield block()
+                at, held = row[:3], ([], [], [])
+            for x, value in zip(held, row[3:], strict=True):
+                x.append(value)
+        if at is not None:
+            yield block()
 
+    dealt = cut.repartition(shuffles, *keys).sortWithinPartitions(*keys)
+    return map_rows(dealt, run, "shard int, width int, block int, ids binary, matrix binary, limits binary")
 
-def search(
-    vectors: DataFrame, queries: DataFrame, find: Callable, k: int, kind: str, block_rows: int = BLOCK_ROWS,
-    query_rows: int = QUERY_ROWS,
-) -> DataFrame:
-    """(query_id, rank, vec_id, score): the ``k`` best of each query, ties to the smaller id.
 
-    ``find(ids, matrix)`` makes a block's index; called with (query ids, query
-    matrix, k) it returns arrays (query number, vec_id, score) that hold the
-    block's best ones. Every query meets every block, in packed pieces of a
-    fixed number of rows; each meeting hands on at most ``k`` rows per query, which are then merged.
+def meet(blocks: DataFrame, asked: DataFrame, find: Callable, k: int, kind: str) -> DataFrame:
+    """(query_id, vec_id, score): for each block of queries the best rows in each block of their shard.
+
+    ``find(ids, matrix)`` makes a block's index; called with (query ids, query matrix, limits, k) it returns arrays (query
+    number, vec_id, score) that hold the block's best ones. A block of rows meets the queries of its shard slice by
+    slice, each in a task of its own, and its index is built once in each.
     """
-    (blocks, count), (asked, _) = pack(vectors, block_rows), pack(queries, query_rows)
-    asked = asked.select("width", F.col("block").alias("query_block"), F.col("ids").alias("query_ids"), F.col("matrix").alias("query_matrix"))
-    meetings = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
-    # A merge join brings the meetings of a block one after the other, so its index is built once.
-    columns = meetings.hint("merge").join(blocks, ["width", "block"]).select("width", "block", "query_ids", "query_matrix", "ids", "matrix")
+    asked = asked.select("shard", "width", F.floor(F.col("block") / SLICE_BLOCKS).cast("int").alias("slice"), *[F.col(c).alias(f"q_{c}") for c in ("ids", "matrix", "limits")])
+    slices = asked.select("shard", "width", "slice").distinct()
+    pieces = blocks.select("shard", "width", "block").distinct()
+    spread = asked.join(pieces, ["shard", "width"])
+    wanted = blocks.drop("limits").join(slices, ["shard", "width"])
+    keys = ["shard", "width", "block", "slice"]
+    rows = spread.hint("merge").join(wanted, keys).select(*keys, "q_ids", "q_matrix", "q_limits", "ids", "matrix")
 
     def run(batches):
         at, index = None, None
-        for width, block, query_ids, query_matrix, ids, matrix in (r for b in batches for r in zip(*b, strict=True)):
-            own, asked = np.frombuffer(ids, "<i8"), np.frombuffer(query_ids, "<i8")
-            if at != (width, block):
-                at, index = (width, block), find(own, np.frombuffer(matrix, "<f8").reshape(len(own), -1))
-            number, found, score = index(asked, np.frombuffer(query_matrix, "<f8").reshape(len(asked), -1), k)
+        for *key, q_ids, q_matrix, q_limits, ids, matrix in (r for b in batches for r in zip(*b, strict=True)):
+            asked = np.frombuffer(q_ids, "<i8")
+            if key != at:
+                own = np.frombuffer(ids, "<i8")
+                at, index = key, find(own, np.frombuffer(matrix, "<f8").reshape(len(own), -1))
+            number, found, score = index(asked, np.frombuffer(q_matrix, "<f8").reshape(len(asked), -1), np.frombuffer(q_limits, "<f8"), k)
             yield [asked[number], found, score]
 
-    hits = map_rows(columns, run, PAIR.format(kind))
+    return map_rows(rows, run, PAIR.format(kind))
+
+
+def ranked(hits: DataFrame, k: int) -> DataFrame:
+    """(query_id, rank, vec_id, score): the ``k`` best of each query, ties to the smaller id."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def search(
+    vectors: DataFrame, queries: DataFrame, find: Callable, k: int, kind: str, block_rows: int = BLOCK_ROWS,
+    query_rows: int = QUERY_ROWS,
+) -> DataFrame:
+    """(query_id, rank, vec_id, score): the ``k`` best of each query over all blocks, see ``meet``.
+
+    Every query meets every block; each meeting hands on at most ``k`` rows per query, which are then merged. Queries that
+    share an id count once, see ``one_per_id``.
+    """
+    plain = lambda rows: rows.select(F.lit(0).alias("shard"), F.size("v").alias("width"), "vec_id", "v", F.lit(float("-inf")).alias("limit"))
+    blocks, asked = cut_lineage(pack(plain(vectors), block_rows)), cut_lineage(pack(plain(one_per_id(queries)), query_rows))
+    return ranked(meet(blocks, asked, find, k, kind), k)
+
+
 def best(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
     """Places of the ``k`` best of each query, ties to the smaller id."""
     order = np.lexsort((ids, -score, query))
