@@ -2,8 +2,8 @@
 
 Patterns find candidates in whole texts. Their hashes are counted over the
 whole corpus by the different owners and repositories that have them: a value
-that many owners have is a copied example, one that belongs to a single owner
-and looks random is likely live. Places are counted in code points, the end excluded.
+that many owners have, or that one owner has in many repositories, is a copied example; one that belongs to a single owner, in few
+repositories, and looks random is likely live. Places are counted in code points, the end excluded.
 """
 
 from __future__ import annotations
@@ -25,7 +25,9 @@ BASE = (
 EXTRA = ("owned", r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{20,}+", "\x01$0\x01", 20)
 PLACEHOLDER = r"(?i)example|sample|dummy|change|placeholder|your|test|xxxx|0000|1234"
 SPAN = "array<struct<start:int,no:int,end:int,kind:string,hash:bigint,random:boolean>>"
+COUNTS = "array<struct<start:int,no:int,end:int,kind:string,owners:bigint,repositories:bigint>>"
 WIDE_OWNERS = 3
+WIDE_REPOSITORIES = 3
 
 
 def _looks_random(value: Column) -> Column:
@@ -88,28 +90,36 @@ def ownership(found: DataFrame) -> DataFrame:
 
 def scan(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str = "source", repository: Column | str = "source",
-    wide_owners: int = WIDE_OWNERS,
+    wide_owners: int = WIDE_OWNERS, wide_repositories: int = WIDE_REPOSITORIES,
 ) -> DataFrame:
-    """(doc_id, row, base, added, copied): the spans of every row of ``docs``.
+    """(doc_id, row, base, added, copied, live, counts): the spans of every row of ``docs``.
 
     ``base`` has the spans of the fixed patterns, ``added`` the random-looking
-    runs whose value only one owner has. ``copied`` counts the spans of
-    ``base`` whose value ``wide_owners`` or more have. Null texts count as empty; equal rows get equal results.
+    runs whose value only one owner has, in fewer than ``wide_repositories``. ``copied`` counts the spans of
+    ``base`` whose value ``wide_owners`` owners or ``wide_repositories`` repositories or more have, ``live`` those of all that look random and
+    are owner-specific. ``counts`` has, for each span of ``base`` and ``added``, how many owners and repositories have its value.
+    Null texts count as empty; equal rows get equal results.
     """
     found = cut_lineage(candidates(docs, doc_id, text, owner, repository))
     some = found.filter((F.size("base") > 0) | (F.size("extra") > 0))
     known = ownership(some)
     each = some.select("row", F.explode(F.concat("base", "extra")).alias("span")).distinct()
     judged = each.withColumn("hash", F.col("span")["hash"]).join(known, "hash")
-    added = F.collect_list(F.when((F.col("span")["no"] == len(BASE)) & (F.col("owners") == 1), F.col("span")))
-    copied = F.count_if((F.col("span")["no"] < len(BASE)) & (F.col("owners") >= wide_owners))
-    live = F.count_if((F.col("owners") == 1) & F.col("span")["random"])
-    verdict = judged.groupBy("row").agg(F.array_sort(added).alias("added"), copied.alias("copied"), live.alias("live"))
+    is_base = F.col("span")["no"] < len(BASE)
+    specific = (F.col("owners") == 1) & (F.col("repositories") < wide_repositories)
+    wide = (F.col("owners") >= wide_owners) | (F.col("repositories") >= wide_repositories)
+    added = F.collect_list(F.when(~is_base & specific, F.col("span")))
+    count = F.struct(*[F.col("span")[c].alias(c) for c in ("start", "no", "end", "kind")], F.col("owners").cast("long").alias("owners"), F.col("repositories").cast("long").alias("repositories"))
+    verdict = judged.groupBy("row").agg(
+        F.array_sort(added).alias("added"), F.count_if(is_base & wide).alias("copied"), F.count_if(specific & F.col("span")["random"]).alias("live"),
+        F.array_sort(F.collect_list(F.when(is_base | specific, count))).alias("counts"),
+    )
     full = found.select("doc_id", "row", "base").join(verdict, "row", "left")
     zero = F.lit(0).cast("long")
     return full.select(
         "doc_id", "row", "base", F.coalesce("added", F.lit([]).cast(SPAN)).alias("added"),
         F.coalesce("copied", zero).alias("copied"), F.coalesce("live", zero).alias("live"),
+        F.coalesce("counts", F.lit([]).cast(COUNTS)).alias("counts"),
     )
 
 
@@ -118,26 +128,28 @@ def _listed(spans: Column) -> Column:
 
 
 def report(spans: DataFrame) -> DataFrame:
-    """Digest columns of ``scan``."""
+    """Digest columns of ``scan``; ``n_owners`` and ``n_repositories`` go with ``spans``, one number for each."""
     of = lambda no: F.size(F.filter("base", lambda s: s["no"] == no)).cast("long")
     return spans.select(
         "doc_id", of(0).alias("n_assign"), of(1).alias("n_access"), of(2).alias("n_hex"),
         F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(F.concat("base", "added")).alias("spans"),
         F.col("live").alias("n_live"), F.col("copied").alias("n_copied"),
+        F.transform("counts", lambda s: s["owners"]).alias("n_owners"), F.transform("counts", lambda s: s["repositories"]).alias("n_repositories"),
     )
 
 
 def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mask: str = "[SECRET]", **options) -> DataFrame:
     """``docs`` with every span of ``scan`` replaced by ``mask``; rows, other columns and null texts stay."""
     spans = scan(docs, doc_id, text, **options)
-    hit = spans.withColumn("_spans", F.array_sort(F.concat("base", "added"))).filter(F.size("_spans") > 0).select(F.col("row").alias("_row"), "_spans").dropDuplicates(["_row"])
+    hit = spans.select("row", F.array_sort(F.concat("base", "added")).alias("spans")).filter(F.size("spans") > 0).dropDuplicates(["row"])
     start = F.struct(F.lit(1).alias("at"), F.lit("").alias("out")).cast("struct<at:int,out:string>")
-    inside = F.col(text)
+    inside = F.col("whole")[text]
 
     def step(a: Column, s: Column) -> Column:
         part = F.when(s["start"] + 1 >= a["at"], F.concat(a["out"], inside.substr(a["at"], s["start"] + 1 - a["at"]), F.lit(mask))).otherwise(a["out"])
         return F.struct(F.greatest(a["at"], s["end"] + 1).alias("at"), part.alias("out"))
 
-    masked = F.aggregate("_spans", start, step, lambda a: F.concat(a["out"], inside.substr(a["at"], F.char_length(inside))))
-    rows = docs.withColumn("_row", row_key(doc_id, text)).join(hit, "_row", "left")
-    return rows.withColumn(text, F.when(F.col("_spans").isNull(), inside).otherwise(masked)).select(*docs.columns)
+    masked = F.aggregate("spans", start, step, lambda a: F.concat(a["out"], inside.substr(a["at"], F.char_length(inside))))
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("whole"), row_key(doc_id, text)).join(hit, "row", "left")
+    changed = F.when(F.col("spans").isNull(), inside).otherwise(masked)
+    return rows.select(*[(changed if c == text else F.col("whole")[c]).alias(c) for c in docs.columns])

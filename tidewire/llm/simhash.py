@@ -54,14 +54,21 @@ def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+def text_key(text: str) -> list:
+    """Two hashes that tell texts apart; a null text counts as empty."""
+    whole = F.coalesce(F.col(text), F.lit(""))
+    return [F.xxhash64(F.lit(1), whole).alias("key1"), F.xxhash64(F.lit(2), whole).alias("key2")]
+
+
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, seed: int = SEED) -> DataFrame:
-    """(doc_id, fp): the fingerprint of every whole text, as a signed 64-bit number."""
+    """(doc_id, key1, key2, fp): the fingerprint of every whole text, as a signed 64-bit number, and the hashes of ``text_key``."""
 
     def run(batches):
-        for names, texts in batches:
-            yield [names, np.array([fingerprint(t, words, seed) for t in texts], np.uint64).view(np.int64)]
+        for names, key1, key2, texts in batches:
+            yield [names, key1, key2, np.array([fingerprint(t, words, seed) for t in texts], np.uint64).view(np.int64)]
 
-    return map_rows(docs.select(F.col(doc_id), F.col(text)), run, "doc_id long, fp long")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), *text_key(text), F.col(text).alias("text"))
+    return map_rows(rows, run, "doc_id long, key1 long, key2 long, fp long")
 
 
 def gray_rank(fps: np.ndarray) -> np.ndarray:
@@ -226,30 +233,41 @@ def link_stars(fps: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
     return map_rows(dealt, run, "u long, v long")
 
 
+def classes(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, key1, key2, fp, component, component_id) of every row; ``component`` is a fingerprint of its class."""
+    rows = cut_lineage(fingerprints(docs, doc_id, text))
+    distinct = cut_lineage(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    stars = components(link_stars(distinct.select("fp")))
+    labelled = distinct.join(stars.withColumnRenamed("node", "fp"), "fp", "left")
+    labelled = labelled.select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    ids = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
+    return rows.join(labelled.join(ids, "component").select("fp", "component", "component_id"), "fp")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id): every row of ``docs`` with its class of near-duplicates.
 
     ``component_id`` is the smallest id that can be reached over links of at
     most ``LIMIT`` bits. Null and empty texts, and those without a word, have fingerprint zero
     and are linked like any other. Repeated rows each get their row. Null ids
-    do not count as smallest; a class that has no other id has a null one.
+    do not count as smallest; a class that has no other id has a null one. An empty table gives no rows.
     """
-    rows = cut_lineage(fingerprints(docs, doc_id, text))
-    distinct = cut_lineage(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    stars = components(link_stars(distinct.select("fp")))
-    labelled = distinct.join(stars.withColumnRenamed("node", "fp"), "fp", "left")
-    labelled = labelled.select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    ids = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = labelled.join(ids, "component").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    found = classes(docs, doc_id, text)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay: the smallest id of every class, once, all columns unchanged.
+    """One row of each class stays, all columns unchanged: that with the smallest id, null ids coming last.
 
-    Rows without an id cannot be told apart by it and all stay.
+    If several rows of the class have this id, the hashes of their texts decide, then those of all their columns. Columns of any name
+    may be there; maps do not help to decide.
     """
-    classes = near_duplicates(docs, doc_id, text)
-    kept = classes.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.join(kept, docs[doc_id] == F.col("_kept"), "left_semi").dropDuplicates([doc_id])
-    return rows.unionByName(docs.filter(F.col(doc_id).isNull()))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key1", "key2")
+    kept = cut_lineage(classes(docs, doc_id, text).groupBy("component").agg(F.min(order).alias("least")).select("least.doc_id", "least.key1", "least.key2"))
+    plain = [F.col(c) for c, kind in docs.dtypes if "map<" not in kind]
+    whole = F.struct(*[F.col(c) for c in docs.columns]).alias("whole")
+    rows = docs.select(whole, F.xxhash64(*plain).alias("order"), F.col(doc_id).cast("long").alias("doc_id"), *text_key(text)).alias("r")
+    same = F.col("r.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("r.key1") == F.col("k.key1")) & (F.col("r.key2") == F.col("k.key2"))
+    own = rows.join(kept.alias("k"), same, "left_semi")
+    one = own.groupBy("doc_id", "key1", "key2").agg(F.min_by("whole", "order").alias("whole"))
+    return one.select(*[F.col("whole")[c].alias(c) for c in docs.columns])
