@@ -30,7 +30,7 @@ def event_days(events: DataFrame, days: int = 7) -> DataFrame:
     )
     return events.select("event_name", "event_date", F.inline(sides)).select(
         "event_name", "event_date", "side", F.explode("dates").alias("day")
-    )
+    ).filter(F.col("day") >= F.lit("0001-01-01").cast("date"))  # tells Spark that the days are few, so others are not read
 
 
 def daily_moments(articles: DataFrame, *keys: str) -> DataFrame:
@@ -81,7 +81,8 @@ def window_stats_days(articles: DataFrame, events: DataFrame, days: int = 7) ->
 
     ``articles`` needs ``published_date`` and ``sentiment_score``. They are
     reduced to one row per day before they meet the events, so the join is
-    between two short tables however many articles or events there are.
+    between two short tables however many articles or events there are. Of a table in one folder
+    for each day (``write_dated``) only the days around events are read.
     """
     wanted = event_days(events.select(*EVENT_KEYS).distinct(), days)
     dated = articles.withColumnRenamed("published_date", "day").join(wanted.select("day"), "day", "left_semi")

@@ -12,7 +12,7 @@ from tidewire.operators.dedup import keep_first, not_stored
 from tidewire.operators.filters import is_web_url, mentions_either, mentions_joined
 from tidewire.operators.hotkeys import MAX_BROADCAST_ROWS, is_short, short_side
 from tidewire.operators.merge import cap_per_feed, new_from_feeds
-from tidewire.operators.quota import quota_by_file
+from tidewire.operators.quota import first_rows, quota_by_file
 from tidewire.session import cut_lineage
 from tidewire.sinks.store import UrlStore
 from tidewire.sources.feeds import feed_a_records, feed_b_records
@@ -161,15 +161,23 @@ def scrape_bodies(
     ``articles`` has each URL once; ``pages`` is (url, html). Articles without a
     page or with a short text are left out and counted as failed.
     """
-    first = articles if max_articles is None else articles.orderBy(seq).limit(max_articles)
+    found = scraped_pages(articles, pages, max_articles, seq)
+    counts = found.agg(*[c.alias(name) for name, c in scrape_counters().items()])
+    return found.filter(long_enough(F.col("body"))), counts
+
+
+def scraped_pages(articles: DataFrame, pages: DataFrame, max_articles: int | None = None, seq: str = "seq") -> DataFrame:
+    """The first ``max_articles`` articles with the headline and body of their page; both are empty without a page."""
+    first = articles if max_articles is None else first_rows(articles, seq, max_articles)
     first = first.drop("headline", "body")
     wanted = pages_of(first.select("url"), pages, few=max_articles is not None and max_articles <= MAX_BROADCAST_ROWS)
-    found = scrape(first.join(wanted, "url", "left")).drop("html")
-    counts = found.agg(
-        F.count_if(long_enough(F.col("body"))).alias("scraped"),
-        F.count_if(~long_enough(F.col("body"))).alias("failed"),
-    )
-    return found.filter(long_enough(F.col("body"))), counts
+    return scrape(first.join(wanted, "url", "left")).drop("html")
+
+
+def scrape_counters() -> dict[str, Column]:
+    """What is counted of ``scraped_pages``: bodies that are long enough, and the others."""
+    enough = long_enough(F.col("body"))
+    return {"scraped": F.count_if(enough), "failed": F.count_if(~enough)}
 
 
 def collect_feeds(

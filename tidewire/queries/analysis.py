@@ -9,6 +9,8 @@ from tidewire.operators import aggregates, study
 from tidewire.operators.filters import complete_rows
 from tidewire.queries.inputs import ANCHOR_SQL, ARTICLES, anchors, articles, plain
 from tidewire.queries.registry import query
+from tidewire.session import scratch_path
+from tidewire.sinks.writers import write_counted, write_dated
 
 ART = plain(ARTICLES)
 SCORED = f"""(SELECT *, CAST(published_at AS DATE) AS published_date FROM ({ART})
@@ -106,18 +108,61 @@ def _(t):
     return aggregates.articles_per_day(aggregates.daily_sentiment(articles(t)))
 
 
-@query("join1_event_days", f"""SELECT event_name, side, day, round(avg(sentiment_score), 6) AS mean, count(*) AS n
+EVENT_DAYS = f"""SELECT event_name, side, day, round(avg(sentiment_score), 6) AS mean, count(*) AS n
   FROM (SELECT event_name, published_date AS day, sentiment_score,
       CASE WHEN published_date < CAST(event_date AS DATE) THEN 'pre' ELSE 'post' END AS side
     FROM {ANCHOR_SQL} JOIN {SCORED} s ON s.published_date BETWEEN CAST(event_date AS DATE) - 7 AND CAST(event_date AS DATE) + 7
      AND s.published_date <> CAST(event_date AS DATE))
-  GROUP BY event_name, side, day""")
-def _(t):
-    moments = study.daily_moments(scored(t).withColumnRenamed("published_date", "day"), "day")
-    joined = study.event_days(anchors(t)).join(moments, "day")
+  GROUP BY event_name, side, day"""
+
+
+def days_of_events(rows, events):
+    """Moments of the days around events; other days go before anything is aggregated."""
+    days = study.event_days(events)
+    dated = rows.withColumnRenamed("published_date", "day").join(days.select("day").distinct(), "day", "left_semi")
+    joined = days.join(study.daily_moments(dated, "day"), "day")
     return rounded(joined.select("event_name", "side", "day", "mean", "n"), "mean")
 
 
+@query("join1_event_days", EVENT_DAYS)
+def _(t):
+    return days_of_events(scored(t), anchors(t))
+
+
+@query("join1_dated_table", EVENT_DAYS)
+def _(t):
+    """The same over a table with a folder for each day, of which those around events are opened."""
+    path = scratch_path(t.spark, "by_day")
+    write_dated(scored(t), path)
+    return days_of_events(t.spark.read.parquet(path), anchors(t))
+
+
+@query("agg11_rollup", f"""SELECT published_date, topic, grouping_id(published_date, topic)::INTEGER AS level, count(*) AS article_count,
+  round(avg(sentiment_score), 6) AS avg_sentiment, round(coalesce(stddev_samp(sentiment_score), 0), 6) AS sentiment_std
+  FROM {SCORED} GROUP BY GROUPING SETS ((published_date, topic), (published_date), (topic), ())""")
+def _(t):
+    return rounded(aggregates.sentiment_rollup(articles(t)), "avg_sentiment", "sentiment_std")
+
+
+@query("agg11_before_and_after", f"""SELECT event_name, 'pre' AS side, n1 AS article_count, round(m1, 6) AS avg_sentiment FROM {DAY_STATS}
+  UNION ALL SELECT event_name, 'post', n2, round(m2, 6) FROM {DAY_STATS}""")
+def _(t):
+    sides = F.inline(F.array(*[F.struct(F.lit(s).alias("side"), F.col(f"{s}_n").alias("article_count"), F.round(f"{s}_mean", 6).alias("avg_sentiment")) for s in ("pre", "post")]))
+    return study.window_stats_days(scored(t), anchors(t)).select("event_name", sides)
+
+
+@query("agg10_counted_write", f"""SELECT count(*) AS initial, count(*) - count(CASE WHEN sentiment_score IS NOT NULL
+  AND topic IS NOT NULL AND published_at IS NOT NULL THEN 1 END) AS dropped FROM ({ART})""")
+def _(t):
+    """Counted while the complete rows are written, without a second job."""
+    rows, path = articles(t), scratch_path(t.spark, "complete")
+    lacking = aggregates.missing(rows)
+    keep = lambda df: df.filter(~lacking).write.parquet(path)
+    seen = write_counted(rows, keep, initial=F.count("*"), dropped=F.count_if(lacking))
+    assert t.spark.read.parquet(path).count() == seen["initial"] - seen["dropped"]
+    return t.spark.createDataFrame([(seen["initial"], seen["dropped"])], "initial long, dropped long")
+
+
 @query("join2_event_instants", f"""SELECT event_name, event_date, n1 AS before_n, round(m1, 6) AS before_mean,
   n2 AS after_n, round(m2, 6) AS after_mean FROM {INSTANT_STATS}""")
 def _(t):
@@ -265,6 +310,30 @@ def _(t):
     return joined.select("event_name", "event_date", F.coalesce("articles_that_day", F.lit(0)).alias("articles_that_day"))
 
 
+def analysis_table(t, name: str):
+    from tidewire.plans.export import analysis_tables
+
+    return analysis_tables(articles(t), anchors(t))[name]
+
+
+@query("stg8_article_table", f"SELECT url, published_at, topic, sentiment_score FROM {SCORED}")
+def _(t):
+    return analysis_table(t, "articles").select("url", "published_at", "topic", "sentiment_score")
+
+
+@query("stg8_daily_table", f"""SELECT topic, CAST(published_date AS VARCHAR) AS published_date, round(avg_sentiment, 6) AS avg_sentiment,
+  round(sentiment_std, 6) AS sentiment_std, article_count FROM {DAILY}""")
+def _(t):
+    return rounded(analysis_table(t, "daily_sentiment_aggregation"), "avg_sentiment", "sentiment_std")
+
+
+@query("stg8_event_table", f"""SELECT event_name, event_date, n1 AS pre_7d_volume, n2 AS post_7d_volume,
+    CASE WHEN n1 > 2 AND n2 > 2 THEN round(m2 - m1, 6) END AS sentiment_shift_mean, round(t, 6) AS t_stat,
+    round({tail_sql('t', 'df')}, 6) AS p_value FROM {WELCH}""")
+def _(t):
+    return rounded(analysis_table(t, "events"), "sentiment_shift_mean", "t_stat", "p_value")
+
+
 @query("stg8_analysis_tables", f"""SELECT 'articles' AS name, count(*) AS n, round(sum(sentiment_score), 4) AS total FROM {SCORED}
   UNION ALL SELECT 'daily_sentiment_aggregation', count(*), round(sum(avg_sentiment), 4) FROM {DAILY}
   UNION ALL SELECT 'events', count(*), round(sum(m2 - m1), 4) FROM {DAY_STATS}""")

@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 
 from tidewire import defaults
 from tidewire.functions import dates, fields
-from tidewire.operators import dedup, filters, merge, quota
+from tidewire.operators import aggregates, dedup, filters, merge, quota
 from tidewire.plans import collect
 from tidewire.queries import sqltext as S
-from tidewire.queries.analysis import DAILY, SCORED, STUDENT_P
+from tidewire.queries.analysis import DAILY, SCORED, STUDENT_P, rounded
 from tidewire.queries.inputs import (
     ARTICLE_FIELDS, FEED_LINES, PARSED, TONE, anchors, articles, feed_lines, keyword_sql, parsed_feed, plain, slots,
 )
@@ -156,6 +156,13 @@ def _digested(df):
 
 
 @query("src6_json_corpus", DOC_ARTICLES)
+def _(t):
+    path = scratch_path(t.spark, "articles_json")
+    writers.write_json_arrays(doc_articles(t), path)
+    return _digested(tables.read_articles_json(t.spark, path, array=True))
+
+
+@query("src6_json_lines", DOC_ARTICLES)
 def _(t):
     path = scratch_path(t.spark, "articles_json")
     writers.write_articles(doc_articles(t), path, "json")
@@ -210,10 +217,19 @@ def _(t):
 
 
 def page_text_sql(c: str = "html") -> str:
+    """The main text, the same way: elements out, article or main or all, blocks that are not mostly links."""
     c = S.gsub(c, COMMENT, " ")
-    for name in ("head", "script", "style", "template", "nav"):
+    for name in pages.SKIPPED:
         c = S.gsub(c, element_pattern(name), " ")
-    return f"trim({S.gsub(S.unescape(S.gsub(c, TAG, ' ')), '[' + SPACES + ']+', ' ')})"
+    plain = lambda b: f"length(trim({S.gsub(b, TAG, ' ')}))"
+    inside = [f"regexp_extract_all(rest, {quoted(pages.inside_pattern(name))}, 1)" for name in pages.MAIN]
+    region = "rest"
+    for found in reversed(inside):
+        region = f"CASE WHEN len({found}) > 0 THEN array_to_string({found}, ' ') ELSE {region} END"
+    blocks = f"string_split({S.gsub(region, pages.BLOCK, chr(1))}, chr(1))"
+    kept = f"list_filter({blocks}, lambda b: 2 * {plain(S.gsub('b', pages.LINK, ' '))} >= {plain('b')})"
+    main = f"list_transform([{c}], lambda rest: CASE WHEN rest IS NOT NULL THEN coalesce(array_to_string({kept}, ' '), '') END)[1]"
+    return f"trim({S.gsub(S.unescape(S.gsub(main, TAG, ' ')), '[' + SPACES + ']+', ' ')})"
 
 
 TITLE = f"trim({S.gsub(S.unescape('regexp_extract(html, ' + quoted(pages.TITLE) + ', 1)'), '[' + SPACES + ']+', ' ')})"
@@ -225,6 +241,20 @@ def _(t):
     return scraped.select("page_id", "headline", F.md5("body").alias("digest"))
 
 
+BUILT = """SELECT page_id, CASE page_id % 6
+  WHEN 0 THEN replace(replace(html, '<article>', '<header><h2>Site name</h2></header><main id="m">'), '</article>', '</main><aside><p>Read this too</p></aside>')
+  WHEN 1 THEN replace(replace(html, '<article>', '<form action="/s"><label>Search all pages</label></form><div>'), '</article>', '</div><FOOTER class="x">All rights</FOOTER>')
+  WHEN 2 THEN replace(html, '</article>', '<ul><li><a href="/1">More on this</a> now</li><li><a href="/2">And</a> that is quite something else</li></ul></article><article>second part</article>')
+  WHEN 3 THEN replace(replace(html, '<article>', ''), '</article>', '<p><a href="/x">one link</a><a href="/y">and another</p>')
+  WHEN 4 THEN replace(html, '</article>', '') ELSE html END AS html FROM {pages}"""
+
+
+@query("src11_main_text", f"SELECT page_id, coalesce({page_text_sql()}, '') AS body FROM ({plain(BUILT)})")
+def _(t):
+    """Pages with headers, footers, asides, forms, lists of links, several articles, or none."""
+    return t.sql(BUILT, "pages").select("page_id", pages.page_text(F.col("html")).alias("body"))
+
+
 @query("src12_page_text", f"""SELECT page_id, md5(coalesce(CASE WHEN page_id % 5 <> 2 THEN {page_text_sql()} END, '')) AS digest FROM pages""")
 def _(t):
     html = F.when(F.col("page_id") % 5 != 2, F.col("html"))
@@ -490,9 +520,10 @@ def _(t):
     return dedup.not_stored(listed, t.pages.filter(F.contains("url", F.lit("/es/"))))
 
 
-@query("lim1_first_articles", "SELECT page_id, url FROM pages ORDER BY page_id LIMIT 150")
+@query("lim1_first_articles", "SELECT page_id, url FROM pages QUALIFY row_number() OVER (ORDER BY page_id) <= (SELECT count(*) // 2 FROM pages)")
 def _(t):
-    return t.pages.select("page_id", "url").orderBy("page_id").limit(150)
+    """The first half of the table: too many for one task to sort."""
+    return quota.first_rows(t.pages.select("page_id", "url"), "page_id", t.pages.count() // 2)
 
 
 CAPS = {"a": 250, "b": 10}
@@ -536,6 +567,20 @@ def _(t):
     return found.select("seq", "headline", F.md5("body").alias("digest"))
 
 
+@query("agg6_scrape_counters", f"""SELECT count(CASE WHEN length(coalesce(body, '')) > 100 THEN 1 END) AS scraped,
+  count(*) - count(CASE WHEN length(coalesce(body, '')) > 100 THEN 1 END) AS failed FROM (SELECT {page_text_sql()} AS body FROM pages WHERE page_id % 3 <> 1
+  UNION ALL SELECT '' FROM pages WHERE page_id % 3 = 1)""")
+def _(t):
+    """Counted while the bodies are written; a third of the articles has no page."""
+    listed = t.pages.select(F.col("page_id").alias("seq"), F.concat("url", F.lit("#"), F.col("page_id").cast("string")).alias("url"))
+    landed_pages = t.pages.filter("page_id % 3 <> 1").select(F.concat("url", F.lit("#"), F.col("page_id").cast("string")).alias("url"), "html")
+    path = scratch_path(t.spark, "bodies")
+    keep = lambda rows: writers.write_articles(rows.filter(pages.long_enough(F.col("body"))), path)
+    seen = writers.write_counted(collect.scraped_pages(listed, landed_pages), keep, **collect.scrape_counters())
+    assert t.spark.read.parquet(path).count() == seen["scraped"]
+    return t.spark.createDataFrame([(seen["scraped"], seen["failed"])], "scraped long, failed long")
+
+
 CAPPED = f"""(SELECT * FROM {BOTH} QUALIFY row_number() OVER (PARTITION BY feed ORDER BY seq) <= CASE feed WHEN 'a' THEN 250 ELSE 10 END)"""
 STG4 = f"""SELECT n.url, n.source, n.headline, md5(coalesce({page_text_sql('p.html')}, '')) AS digest
   FROM (SELECT * FROM {CAPPED} QUALIFY row_number() OVER (PARTITION BY url ORDER BY feed, seq) = 1) n
@@ -598,7 +643,11 @@ def _(t):
     return _digested(t.spark.read.parquet(path))
 
 
-@query("snk2_replace_table", f"SELECT topic, CAST(published_date AS VARCHAR) AS published_date, article_count FROM {DAILY}")
+DAILY_ROWS = f"""SELECT topic, CAST(published_date AS VARCHAR) AS published_date, round(avg_sentiment, 6) AS avg_sentiment,
+  round(sentiment_std, 6) AS sentiment_std, article_count FROM {DAILY}"""
+
+
+@query("snk2_replace_table", DAILY_ROWS)
 def _(t):
     from tidewire.plans.export import analysis_tables
 
@@ -606,7 +655,17 @@ def _(t):
     name, path = f"daily_{uuid.uuid4().hex[:12]}", scratch_path(t.spark, "daily")
     for _round in range(2):
         writers.replace_table(daily, name, path)
-    return tables.read_table(t.spark, name).select("topic", "published_date", "article_count")
+    return rounded(tables.read_table(t.spark, name), "avg_sentiment", "sentiment_std")
+
+
+@query("snk2_dated_table", f"""SELECT topic, published_date, CASE WHEN dayofmonth(published_date) % 3 = 0 THEN round(avg_sentiment, 6) ELSE -1.0 END AS avg_sentiment, article_count FROM {DAILY}""")
+def _(t):
+    """All days are written, then some of them again: those are replaced, the others stay as they were."""
+    path = scratch_path(t.spark, "dated")
+    daily = aggregates.daily_sentiment(articles(t)).drop("sentiment_std")
+    writers.write_dated(daily.withColumn("avg_sentiment", F.lit(-1.0)), path)
+    writers.write_dated(daily.filter(F.dayofmonth("published_date") % 3 == 0), path)
+    return rounded(t.spark.read.parquet(path), "avg_sentiment").select("topic", "published_date", "avg_sentiment", "article_count")
 
 
 @query("snk3_csv_export", "SELECT conv_id, turn, role, md5(text) AS digest FROM conversations")
@@ -633,13 +692,48 @@ def exported(t):
 STG9 = STUDENT_P.replace("s.published_at >=", "s.topic IS NOT NULL AND s.published_at >=")
 
 
-@query("stg9_instant_analysis", f"""SELECT event_name, event_date, round_even(m1, 4) AS before_mean, round_even(m2, 4) AS after_mean,
+INSTANT_ROWS = f"""SELECT event_name, event_date, round_even(m1, 4) AS before_mean, round_even(m2, 4) AS after_mean,
   n1 AS before_count, n2 AS after_count, CASE WHEN t <> 0 THEN round_even(t, 4) END AS t_statistic,
-  CASE WHEN p <> 0 THEN round_even(p, 4) END AS p_value, coalesce(p < 0.05 AND p <> 0, FALSE) AS significant FROM {STG9}""")
+  CASE WHEN p <> 0 THEN round_even(p, 4) END AS p_value, coalesce(p < 0.05 AND p <> 0, FALSE) AS significant FROM {STG9}"""
+
+
+@query("stg9_instant_analysis", INSTANT_ROWS)
 def _(t):
     return t.spark.table(f"{exported(t)}.event_analysis")
 
 
+@query("stg9_article_table", f"SELECT event_id, url, topic, sentiment_score, published_at FROM {SCORED}")
+def _(t):
+    """All rows of the exported articles that the second study reads."""
+    rows = aggregates.scored_rows(articles(t))
+    path = scratch_path(t.spark, "dated_articles")
+    writers.write_dated(rows, path)
+    return t.spark.read.parquet(path).select("event_id", "url", "topic", "sentiment_score", "published_at")
+
+
+def exported_csv(t, name: str):
+    from tidewire.plans.export import export_csv
+
+    database, folder = exported(t), scratch_path(t.spark, "export")
+    export_csv(t.spark, folder, [name], database=database)
+    return t.spark.read.options(**writers.CSV_OPTIONS).schema(t.spark.table(f"{database}.{name}").schema).csv(f"{folder}/{name}")
+
+
+@query("stg10_csv_daily", DAILY_ROWS)
+def _(t):
+    return rounded(exported_csv(t, "daily_sentiment_aggregation"), "avg_sentiment", "sentiment_std")
+
+
+@query("stg10_csv_event_analysis", INSTANT_ROWS)
+def _(t):
+    return exported_csv(t, "event_analysis")
+
+
+@query("stg10_csv_articles", f"SELECT url, topic, published_at, sentiment_score FROM {SCORED}")
+def _(t):
+    return exported_csv(t, "articles").select("url", "topic", "published_at", "sentiment_score")
+
+
 @query("stg10_csv_copies", f"""SELECT 'articles' AS name, count(*) AS n FROM {SCORED} UNION ALL
   SELECT 'daily_sentiment_aggregation', count(*) FROM {DAILY} UNION ALL SELECT 'events', 3 UNION ALL SELECT 'event_analysis', 3""")
 def _(t):
