@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidewire.functions.lookup import bind
+
 SIMPSON_STEPS = 2000
 
 
@@ -22,16 +24,20 @@ def t_two_sided(t: Column, df: Column) -> Column:
     reach = F.lit(12.0) / root
 
     def integral(lo: Column, hi: Column) -> Column:
-        width = (hi - lo) / F.lit(float(SIMPSON_STEPS))
+        def over(range_: Column) -> Column:
+            """Simpson's rule; bound first, or each step would compute its bounds anew."""
 
-        def add(total: Column, i: Column) -> Column:
-            ends = (i == 0) | (i == SIMPSON_STEPS)
-            weight = F.when(ends, 1.0).when(i % 2 == 1, 4.0).otherwise(2.0)
-            height = F.greatest(F.cos(lo + i * width), F.lit(0.0))
-            return total + weight * F.pow(height, df - 1)
+            def add(total: Column, i: Column) -> Column:
+                ends = (i == 0) | (i == SIMPSON_STEPS)
+                weight = F.when(ends, 1.0).when(i % 2 == 1, 4.0).otherwise(2.0)
+                height = F.greatest(F.cos(range_["lo"] + i * range_["width"]), F.lit(0.0))
+                return total + weight * F.pow(height, range_["power"])
 
-        steps = F.sequence(F.lit(0), F.lit(SIMPSON_STEPS))
-        return F.aggregate(steps, F.lit(0.0), add) * width / 3.0
+            steps = F.sequence(F.lit(0), F.lit(SIMPSON_STEPS))
+            return F.aggregate(steps, F.lit(0.0), add) * range_["width"] / 3.0
+
+        width = (hi - lo) / F.lit(float(SIMPSON_STEPS))
+        return bind(F.struct(lo.alias("lo"), width.alias("width"), (df - 1).cast("double").alias("power")), over)
 
     tail = integral(start, F.least(half_pi, start + reach))
     whole = integral(F.lit(0.0), F.least(half_pi, reach))

@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidewire import defaults
-from tidewire.functions.lookup import dict_lookup
+from tidewire.functions.lookup import bind, dict_lookup
 
 # White space as Python's str.split() understands it (Unicode, not just ASCII).
 SPACES = (
@@ -106,15 +106,20 @@ def unescape_html(c: Column, entities: Mapping[str, str] = defaults.ENTITIES) ->
         decoded = F.when(char.isNotNull(), F.concat(char, rest)).otherwise(F.concat(F.lit("&"), part))
         return F.when(i == 0, part).otherwise(decoded)
 
-    return F.array_join(F.transform(F.split(c, "&", -1), piece), "")
+    decoded = F.array_join(F.transform(F.split(c, "&", -1), piece), "")
+    return F.when(F.contains(c, F.lit("&")), decoded).otherwise(c)
 
 
 def strip_html(c: Column) -> Column:
     """Visible text of a fragment, with nothing put in place of the tags."""
-    text = F.regexp_replace(c, COMMENT, "")
-    for name in ("script", "style", "template"):
-        text = F.regexp_replace(text, element_pattern(name), "")
-    return unescape_html(F.regexp_replace(text, TAG, ""))
+
+    def without_tags(text: Column) -> Column:
+        out = F.regexp_replace(text, COMMENT, "")
+        for name in ("script", "style", "template"):
+            out = F.regexp_replace(out, element_pattern(name), "")
+        return F.when(F.contains(text, F.lit("<")), F.regexp_replace(out, TAG, "")).otherwise(text)
+
+    return bind(bind(c, without_tags), lambda text: unescape_html(text))
 
 
 def remove_urls(c: Column) -> Column:
@@ -139,9 +144,15 @@ def tokenize(c: Column) -> Column:
     text = F.regexp_replace(text, PAUSE, " $2")
     text = F.concat(F.lit(" "), F.regexp_replace(text, " +", "  "), F.lit("  "))
     text = F.regexp_replace(text, CLITIC, "  ")
-    for joined, parts in defaults.CONTRACTIONS.items():
-        text = F.replace(text, F.lit(f" {joined} "), F.lit(f" {parts} "))
-    return _split_blanks(text)
+
+    def split_joined(text: Column) -> Column:
+        out = text
+        for joined, parts in defaults.CONTRACTIONS.items():
+            out = F.replace(out, F.lit(f" {joined} "), F.lit(f" {parts} "))
+        # Most texts have none of them: one look spares a pass for each.
+        return F.when(contains_any(text, [f" {joined} " for joined in defaults.CONTRACTIONS]), out).otherwise(text)
+
+    return _split_blanks(bind(text, split_joined))
 
 
 def alphabetic(tokens: Column) -> Column:

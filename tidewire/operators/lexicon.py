@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tidewire import defaults
 from tidewire.functions.lookup import bind, dict_lookup
 from tidewire.functions.text import words
+from tidewire.operators.wordtables import word_values
 
 # Fixed values of the published rule.
 NEGATION = -0.74
@@ -59,7 +60,7 @@ def _shouted(w: Column) -> Column:
 
 def lexicon_score(
     text: Column,
-    lexicon: Mapping[str, float] = defaults.LEXICON,
+    lexicon: Mapping[str, float] | Column = defaults.LEXICON,
     boosters: Mapping[str, float] = defaults.BOOSTERS,
     negations: Sequence[str] = defaults.NEGATIONS,
     places: int = 4,
@@ -67,14 +68,17 @@ def lexicon_score(
     """Compound score in [-1, 1] of one text.
 
     Everything happens inside the row: no shuffle, and the lexicon travels with
-    the plan as a constant.
+    the plan as a constant. In its place a map column may have the entries of the words of the row, see ``score_by_table``.
     """
     negations = list(negations)
 
+    def valence(word: Column) -> Column:
+        return F.try_element_at(lexicon, word) if isinstance(lexicon, Column) else dict_lookup(word, lexicon, "double")
+
     def step(tokens: Column, mixed: Column, i: Column, v: Column, k: Column) -> Column:
         word = F.get(tokens, i - k)
         low = F.lower(word)
-        known = dict_lookup(low, lexicon, "double").isNotNull()
+        known = valence(low).isNotNull()
         push = F.coalesce(dict_lookup(low, boosters, "double"), F.lit(0.0))
         push = push + F.when(mixed & _shouted(word) & (push != 0), CAPITALS).otherwise(0.0)
         damp = F.when(k == 1, DAMPING[0]).when(k == 2, DAMPING[1]).otherwise(DAMPING[2])
@@ -83,7 +87,7 @@ def lexicon_score(
 
     def adjusted(tokens: Column, mixed: Column, but_at: Column, w: Column, i: Column) -> Column:
         low = F.lower(w)
-        plain = F.when(low.isin(list(boosters)), 0.0).otherwise(dict_lookup(low, lexicon, "double"))
+        plain = F.when(low.isin(list(boosters)), 0.0).otherwise(valence(low))
         side = F.when((but_at < 0) | (i == but_at), 1.0).when(i < but_at, BEFORE_BUT).otherwise(AFTER_BUT)
 
         def nearby(v: Column) -> Column:
@@ -137,3 +141,17 @@ def token_valences(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
     entries = lexicon.select(F.col("token").alias("entry"), "valence")
     joined = tokens.join(entries, F.lower("token") == F.col("entry"), "left").drop("entry")
     return joined.withColumn("valence", F.coalesce("valence", F.lit(0.0)))
+
+
+def score_by_table(
+    df: DataFrame, id_col: str, text: str, lexicon: DataFrame, out: str = "vader_score",
+    boosters: Mapping[str, float] = defaults.BOOSTERS, negations: Sequence[str] = defaults.NEGATIONS, places: int = 4,
+) -> DataFrame:
+    """``df`` with ``lexicon_score`` by a lexicon table (token, valence) of any size; ``id_col`` tells the rows apart.
+
+    The words of each text are looked up by a join, and come back as one map per text; the text itself is not shuffled with them.
+    """
+    found = word_values(df, id_col, F.transform(bare_words(F.col(text)), F.lower), lexicon.withColumnRenamed("token", "word").withColumnRenamed("valence", "value"))
+    rows = df.join(found.withColumnRenamed("values", "_values"), id_col, "left")
+    entries = F.coalesce("_values", F.create_map().cast("map<string,double>"))
+    return rows.withColumn(out, lexicon_score(F.col(text), entries, boosters, negations, places)).drop("_values")

@@ -28,15 +28,18 @@ def topic_text(cleaned: Column, headline: Column) -> Column:
 
 
 def fit_tfidf(df: DataFrame, text: str, features: int = 1 << 12, out: str = "vector") -> Callable[[DataFrame], DataFrame]:
-    """A function that adds ``out``, hashed TF-IDF of unit length, in a map-side pass. One pass of counts is fitted."""
+    """A function that adds ``out``, hashed TF-IDF of unit length, in a map-side pass. One pass of counts is fitted.
+
+    Where there is a column ``_tokens`` it has the words, and the text is not split again.
+    """
     hashed = HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=features)
     unit = Normalizer(inputCol="_tfidf", outputCol=out)
 
     def counted(rows: DataFrame) -> DataFrame:
-        return hashed.transform(rows.withColumn("_tokens", words(F.col(text))))
+        return hashed.transform(rows if "_tokens" in rows.columns else rows.withColumn("_tokens", words(F.col(text))))
 
     scale = IDF(inputCol="_tf", outputCol="_tfidf").fit(counted(df))
-    return lambda rows: unit.transform(scale.transform(counted(rows))).drop("_tokens", "_tf", "_tfidf")
+    return lambda rows: unit.transform(scale.transform(counted(rows))).drop("_tf", "_tfidf", *({"_tokens"} - set(rows.columns)))
 
 
 def tfidf_vectors(df: DataFrame, text: str, features: int = 1 << 12) -> DataFrame:

@@ -29,7 +29,8 @@ def model_topics(
     texts = articles.withColumn("_text", topic_text(F.col("cleaned_body"), F.col("headline")))
     if len(texts.take(2)) < 2:
         return label_topics(texts.withColumn("topic_id", F.lit(OUTLIER)), None).drop("_text")
-    narrow = texts.select("_text", *([embedding] if embedding else []))
+    # The words are written once; the fit, the vectors and the topics' terms all start from them.
+    narrow = cut_lineage(texts.select(words(F.col("_text")).alias("_tokens"), *([embedding] if embedding else [])))
     vectors_of = partial(array_vectors, array=embedding, out="_vector") if embedding else fit_tfidf(narrow, "_text", out="_vector")
     # Fitting goes over the vectors many times: keep them, not the text they come from.
     vectors = cut_lineage(vectors_of(narrow).select("_vector"))
@@ -48,7 +49,7 @@ def model_topics(
     # the articles get their topics where they are read, without a shuffle of their bodies.
     numbers = cut_lineage(topic_numbers(clustered(vectors), "_cluster", min_topic_size))
     numbered = number_rows(clustered(vectors_of(texts)), numbers, "_cluster").drop("_vector", "_cluster")
-    terms = term_weights(numbered.withColumn("_tokens", words(F.col("_text"))), "topic_id", "_tokens")
+    terms = term_weights(number_rows(clustered(vectors_of(narrow)), numbers, "_cluster"), "topic_id", "_tokens")
     labels = topic_labels(top_terms(terms)).filter(F.col("topic") != OUTLIER)
     outlier = labels.sparkSession.range(1).select(F.lit(OUTLIER).alias("topic"), F.lit("Outlier").alias("label"))
     return label_topics(numbered, cut_lineage(labels.unionByName(outlier))).drop("_text")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewire import defaults
 from tidewire.functions import dates, fields, scores, text, urls
-from tidewire.operators import lexicon, scoring
+from tidewire.operators import lexicon, scoring, wordtables
 from tidewire.queries import sqltext as S
 from tidewire.queries.inputs import RAW_ARTICLES, plain, raw_articles
 from tidewire.queries.registry import query, quoted, quoted_list
@@ -306,6 +306,32 @@ def _(t):
     return t.documents.select("doc_id", F.round(score, 3).alias("compound"))
 
 
+@query("ml1_lexicon_table", ML1)
+def _(t):
+    """The same by a table that is joined, however large it is."""
+    entries = t.spark.createDataFrame(list(WORDS.items()), "token string, valence double")
+    scored = lexicon.score_by_table(t.documents, "doc_id", "text", entries, "compound", BOOSTERS, NEGATIONS, places=9)
+    return scored.select("doc_id", F.round("compound", 3).alias("compound"))
+
+
+SINGULAR = " ".join(f"UNION ALL SELECT w, left(w, length(w) - {len(end)}) || '{put}' FROM vocabulary WHERE ends_with(w, '{end}')" for end, put in wordtables.PLURALS)
+
+
+@query("scl17_dictionary_lemmas", f"""WITH tokens AS MATERIALIZED (SELECT doc_id, {S.words('lower(text)')} AS k FROM documents),
+  vocabulary AS MATERIALIZED (SELECT unnest(k) AS w, count(*) AS n FROM tokens GROUP BY 1),
+  forms AS (SELECT w, w AS form FROM vocabulary {SINGULAR}),
+  best AS (SELECT w, form FROM forms WHERE form IN (SELECT w FROM vocabulary WHERE n >= 5) QUALIFY row_number() OVER (PARTITION BY w ORDER BY length(form), form) = 1),
+  placed AS (SELECT doc_id, unnest(k) AS w, unnest(range(len(k))) AS pos FROM tokens),
+  lemmas AS (SELECT doc_id, string_agg(coalesce(form, p.w), ' ' ORDER BY pos) AS line FROM placed p LEFT JOIN best b ON b.w = p.w GROUP BY doc_id)
+  SELECT doc_id, md5(coalesce(line, '')) AS digest FROM tokens LEFT JOIN lemmas USING (doc_id)""")
+def _(t):
+    """Singular forms that the corpus itself has at least five times."""
+    tokens = t.documents.select("doc_id", text.words(F.lower("text")).alias("tokens"))
+    nouns = wordtables.corpus_nouns(tokens.select(F.explode("tokens").alias("word")))
+    found = wordtables.lemmatize_by_table(tokens, "doc_id", "tokens", nouns)
+    return found.select("doc_id", F.md5(F.array_join("tokens", " ")).alias("digest"))
+
+
 # --- model scoring -------------------------------------------------------------------------------
 
 def _toy_scorer():
