@@ -28,7 +28,7 @@ def table(spark, folder: str, name: str):
 @query
 def op1_warc(spark, folder):
     archive = warc.write_archive(table(spark, folder, "pages"))
-    return warc.read_archive(spark, archive).drop("payload")
+    return warc.read_archive(spark, archive, payloads=False)
 
 
 @query

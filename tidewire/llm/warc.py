@@ -128,39 +128,58 @@ def write_archive(pages: DataFrame, page_id: str = "page_id", url: str = "url",
 
 
 def read_records(spark, folder: str) -> DataFrame:
-    """(page_id, record): the original bytes of every record, put together from headers and payloads.
+    """(page_id, record, sha256, again): the original bytes of every record, put together from headers and payloads.
 
-    A revisit's block ends after its HTTP header; ``full`` has its payload too.
+    A revisit's block ends after its HTTP header, so only responses, one for each payload, are joined with payloads.
     """
     heads, payloads = spark.read.parquet(f"{folder}/headers"), spark.read.parquet(f"{folder}/payloads")
-    joined = heads.join(payloads.select("sha256", "payload"), "sha256")
-    block = F.when(F.col("again"), F.lit(b"")).otherwise(F.col("payload"))
-    return joined.select("page_id", F.concat("header", block, F.lit(b"\r\n\r\n")).alias("record"), F.col("payload").alias("full"), "sha256")
+    end = F.lit(b"\r\n\r\n")
+    whole = heads.filter("NOT again").join(payloads.select("sha256", "payload"), "sha256")
+    whole = whole.select("page_id", F.concat("header", "payload", end).alias("record"), "sha256", "again")
+    return whole.unionByName(heads.filter("again").select("page_id", F.concat("header", end).alias("record"), "sha256", "again"))
 
 
-def read_archive(spark, folder: str) -> DataFrame:
-    """One row per archived page, as its record says: page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload.
+def verified_payloads(spark, folder: str) -> DataFrame:
+    """(sha256, payload_bytes, payload_digest) of every stored payload, computed anew; one that does not agree with its digest fails the job."""
 
-    Payloads that do not agree with their stored digest, or with the record's, fail the job.
+    def run(batches):
+        for digests, payloads in batches:
+            for digest, payload in zip(digests, payloads, strict=True):
+                if hashlib.sha256(payload).digest() != digest:
+                    raise ValueError("a payload does not agree with its digest")
+            yield [digests, list(map(len, payloads)), list(map(base32_sha1, payloads))]
+
+    stored = spark.read.parquet(f"{folder}/payloads").select("sha256", "payload")
+    return map_rows(stored, run, "sha256 binary, payload_bytes long, payload_digest string")
+
+
+def read_archive(spark, folder: str, payloads: bool = True) -> DataFrame:
+    """One row per archived page, as its record says: page_id, url, payload_bytes, payload_digest, record_type, refers_to, and payload.
+
+    Each payload is read and verified once, however many records have it; a record that does not agree with it
+    fails the job. Without ``payloads`` the rows carry none; with them each gets its own, revisits too.
     """
 
     def run(batches):
-        for ids, records, fulls, digests in batches:
+        for ids, records, digests, sizes, sha1s in batches:
             out = [[] for _ in range(7)]
-            for page, record, full, digest in zip(ids, records, fulls, digests, strict=True):
+            for page, record, digest, size, sha1 in zip(ids, records, digests, sizes, sha1s, strict=True):
                 headers, _, payload = parse_record(record)
-                sha1 = base32_sha1(full)
                 again = headers["WARC-Type"] == "revisit"
-                if hashlib.sha256(full).digest() != digest or headers["WARC-Payload-Digest"] != f"sha1:{sha1}" or payload != (b"" if again else full):
+                if headers["WARC-Payload-Digest"] != f"sha1:{sha1}" or len(payload) != (0 if again else size) or not (again or base32_sha1(payload) == sha1):
                     raise ValueError(f"page {page}: the payload does not agree with its digest")
                 refers = headers.get("X-Refers-To-Page") or None
-                values = (page, headers["WARC-Target-URI"], len(full), sha1, headers["WARC-Type"], refers and int(refers), full)
+                values = (page, headers["WARC-Target-URI"], size, sha1, headers["WARC-Type"], refers and int(refers), digest)
                 for column, value in zip(out, values, strict=True):
                     column.append(value)
             yield out
 
-    schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
-    return map_rows(read_records(spark, folder), run, schema)
+    schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, sha256 binary"
+    known = read_records(spark, folder).join(verified_payloads(spark, folder), "sha256")
+    found = map_rows(known.select("page_id", "record", "sha256", "payload_bytes", "payload_digest"), run, schema)
+    if not payloads:
+        return found.drop("sha256")
+    return found.join(spark.read.parquet(f"{folder}/payloads").select("sha256", "payload"), "sha256").drop("sha256")
 
 
 def export_warc(spark, folder: str, to: str) -> DataFrame:
