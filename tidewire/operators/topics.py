@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import IDF, HashingTF, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -123,7 +124,22 @@ def drop_outliers(df: DataFrame, limits: DataFrame, cluster: str, distance: str)
     return df.join(F.broadcast(limits), cluster, "left").withColumn(cluster, F.when(inside, F.col(cluster))).drop("_limit")
 
 
-def fit_clusters(df: DataFrame, vector: str = "vector", k: int = 20, seed: int = 42) -> KMeansModel:
+class OneCluster:
+    """All vectors in one cluster, which k-means cannot be asked for."""
+
+    def __init__(self, df: DataFrame, vector: str):
+        self.centre = df.select(Summarizer.mean(F.col(vector))).first()[0].toArray()
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("_cluster", F.lit(0))
+
+    def clusterCenters(self) -> list[np.ndarray]:  # noqa: N802
+        return [self.centre]
+
+
+def fit_clusters(df: DataFrame, vector: str = "vector", k: int = 20, seed: int = 42) -> KMeansModel | OneCluster:
+    if k == 1:
+        return OneCluster(df, vector)
     return KMeans(featuresCol=vector, predictionCol="_cluster", k=k, seed=seed, maxIter=10).fit(df)
 
 

@@ -20,7 +20,9 @@ from tidewire.queries.analysis import DAILY, SCORED, STUDENT_P, rounded
 from tidewire.queries.inputs import (
     ARTICLE_FIELDS, FEED_LINES, PARSED, TONE, anchors, articles, feed_lines, keyword_sql, parsed_feed, plain, slots,
 )
+from tidewire.queries.corpus import CLEAN_URL, band_sql, greedy_sql
 from tidewire.queries.registry import query, quoted
+from tidewire.queries.textual import VOWELS, _toy_scorer
 from tidewire.functions.text import COMMENT, SPACES, TAG, element_pattern
 from tidewire.session import scratch_path
 from tidewire.sinks import store, writers
@@ -774,7 +776,44 @@ def _(t):
     return ingested(t.spark, dst, shards=16).select("url")
 
 
-@query("stg11_all_stages")
+# From landed files to the daily table. All articles are one topic, and scored by the share of vowels of their bodies.
+STG11 = f"""WITH RECURSIVE collected AS MATERIALIZED (SELECT file_no::BIGINT * {1 << 40} + line_no AS seq, url, published_at FROM {FIRST}),
+  found AS (SELECT seq, c.url, published_at, p.html FROM collected c
+    JOIN (SELECT url, html FROM pages QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id) = 1) p ON p.url = c.url),
+  scraped AS MATERIALIZED (SELECT seq, url, published_at, {TITLE} AS headline, {page_text_sql()} AS body FROM found),
+  passed AS MATERIALIZED (SELECT * FROM (SELECT *, {CLEAN_URL} AS clean FROM scraped WHERE length(body) > 100) WHERE clean <> ''
+    QUALIFY row_number() OVER (PARTITION BY clean ORDER BY seq) = 1),
+  {greedy_sql('seq', band_sql('seq', '(SELECT seq, body AS text FROM passed)'))},
+  cleaned AS MATERIALIZED (SELECT seq, published_at, headline, body, {S.clean_text('body')} AS cleaned FROM passed JOIN kept ON kept.id = passed.seq),
+  judged AS (SELECT *, CASE WHEN trim(cleaned) = '' OR regexp_matches(s, '^[0-9]') THEN 0.0 WHEN share < 0.3 THEN -share WHEN share > 0.4 THEN share ELSE 0.0 END AS model
+    FROM (SELECT *, substr(body, 1, 2000) AS s FROM cleaned), LATERAL (SELECT ({VOWELS})::DOUBLE / length(s) AS share)),
+  terms AS MATERIALIZED (SELECT term, count(*) AS tf FROM (SELECT unnest({S.words("CASE WHEN trim(cleaned) <> '' THEN cleaned ELSE coalesce(headline, '') END")}) AS term FROM cleaned) GROUP BY term),
+  named AS (SELECT 'Topic_0_' || string_agg(term, '_' ORDER BY r) AS topic FROM (
+    SELECT term, row_number() OVER (ORDER BY tf * ln(1 + (SELECT sum(tf) FROM terms)::DOUBLE / tf) DESC, term) AS r FROM terms) WHERE r <= 3),
+  dated AS (SELECT CASE WHEN {S.word_count('cleaned')} >= 20 AND abs(model) > 0.001 THEN model ELSE 0.0 END AS score,
+    CAST(try_strptime(published_at, '%Y-%m-%dT%H:%M:%SZ') AS DATE) AS day FROM judged)
+  SELECT (SELECT topic FROM named) AS topic, CAST(day AS VARCHAR) AS published_date, round(avg(score), 6) AS avg_sentiment,
+    round(coalesce(stddev_samp(score), 0), 6) AS sentiment_std, count(*) AS article_count FROM dated WHERE day IS NOT NULL GROUP BY day"""
+
+
+@query("stg11_all_stages", STG11)
+def _(t):
+    """From the landed files of all slots to the exported daily table, each stage reading what the one before wrote."""
+    from tidewire.plans.run import STAGES, run_stages
+
+    root = scratch_path(t.spark, "run")
+    database = f"run_{uuid.uuid4().hex[:12]}"
+    t.spark.sql(f"CREATE DATABASE {database} LOCATION '{root}-db'")
+    # Feed URLs are stripped when collected, so pages are looked up by the plain URL.
+    pages_by_url = dedup.keep_first(t.pages, "url", "page_id")
+    run_stages(
+        t.spark, STAGES, root, landed=landed_in_order(t), layout=LAYOUT, slots=named_slots(t), pages=pages_by_url, scorer=_toy_scorer,
+        lexicon={"nowhere": 1.0}, events=anchors(t), k=1, database=database,
+    )
+    return rounded(t.spark.table(f"{database}.daily_sentiment_aggregation"), "avg_sentiment", "sentiment_std")
+
+
+@query("stg11_bundled_model")
 def _(t):
     from tidewire.operators.scoring import default_scorer
     from tidewire.plans.run import STAGES, run_stages
