@@ -81,7 +81,11 @@ def test_ids_are_those_of_the_library(texts, name):
     """Against a fresh tokenizer in its own settings."""
     fresh = __import__("tokenizers").Tokenizer.from_file(__import__("public_tokenizers").path(name))
     e = tokens.Encoder(__import__("public_tokenizers").path(name))
+    letters = "".join(chr(i) for i in range(0xC0, 0x260)) + "aBcdEÉñßœ" * 9
+    made = np.random.default_rng(8)
     some = [t or "" for t in texts.values()] + ODD + [t or "" for t in TEXTS] + list(odd_texts(7, 20_000))
+    some += [" ".join("".join(letters[i] for i in made.integers(0, len(letters), made.integers(1, 7))) for _ in range(9)) for _ in range(3000)]
+    assert e.ids.piece is not None
     for i in range(0, len(some), 512):
         part = some[i : i + 512]
         found = [np.frombuffer(x, np.uint32).tolist() for x in e.encode_all(part)]

@@ -3,7 +3,7 @@
 Both vocabularies used here never join text across a blank that is followed by
 a visible character, so a text may be cut there and its words encoded one by one.
 Most words of a corpus repeat, which makes looking them up far cheaper than
-encoding them again. New words are encoded in one text, set apart by a special
+encoding them again. New words of plain letters go to the library's model, others are encoded in one text, set apart by a special
 token, on both sides of which the library begins anew. Texts for which this may not hold are encoded whole: those
 with the text of a special token in them, or unusual white space. The tests hold the result against whole texts.
 """
@@ -17,6 +17,9 @@ import numpy as np
 
 MAX_WORDS = 1_000_000
 TOGETHER = 512  # words encoded in one text
+TRIED = ("a", "the", "word", "encode", "antidisestablishmentarianism", "xqzvwkj", "für", "señor", "ÉTÉ", "œuvre", "Æ")
+# Byte-level vocabularies write a byte that is no visible Latin-1 character as one from 256 on, in order.
+BYTE_LEVEL = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
 LONG_WORD = 24  # longer words hardly ever come again
 MARKS = ".,;:!?"
 # White space other than blank and line end, and two of these together: such texts are encoded whole.
@@ -36,11 +39,13 @@ def ends_in_letter(word: str) -> bool:
 
 
 class WordIds(dict):
-    """Little-endian 32-bit ids of words, as bytes; holds at most ``MAX_WORDS`` and the new ones of one call, then forgets all.
+    """Little-endian 32-bit ids of words, as bytes; holds at most ``MAX_WORDS`` and the new ones of one call, then forgets all others than those of that call.
 
     A word is stored without the blank before it; one that begins a line has
     the line end in front. A mark after a letter is a token of its own, so ``word,`` is
     looked up as ``word`` and ``,``. Where case makes no difference, ASCII words share their lower-case form.
+    A word of Latin letters alone is one piece to the library, and is handed to its model directly, its bytes written as
+    byte-level vocabularies write them: ``piece`` is what the model wants in front of it, None if it does not give the same ids.
     """
 
     def __init__(self, tokenizer, lead: str, caseless: bool, special: tuple[str, int] | None):
@@ -48,6 +53,18 @@ class WordIds(dict):
         self.tokenizer, self.lead, self.caseless, self.special = tokenizer, lead, caseless, special
         self.marks = {m: self._encode(m) for m in MARKS}
         self.newline = self._encode("\n")
+        self.model = tokenizer.model
+        self.piece = next((p for p in ("\u0120", "") if all(self._ids_of(p, w) == self._encode(lead + w) for w in TRIED)), None)
+
+    def is_plain(self, word: str) -> bool:
+        """Latin letters alone, each of which stays one letter when it is made small."""
+        return word.isalpha() and (word.isascii() or (max(word) < "\u0250" and len(word.lower()) == len(word)))
+
+    def _ids_of(self, piece: str, word: str) -> bytes:
+        word = word.lower() if self.caseless else word
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(BYTE_LEVEL)
+        return array("I", [t.id for t in self.model.tokenize(piece + word)]).tobytes()
 
     def _encode(self, word: str) -> bytes:
         return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
@@ -73,12 +90,19 @@ class WordIds(dict):
 
     def learn(self, words: list[str]) -> None:
         """Encode ``words``, none of which is known, together."""
-        if len(self) + 2 * len(words) > MAX_WORDS:
-            self.clear()
-            self[""] = b""
         cores = list(map(self.core, words))
         lines = [w for w, c in zip(words, cores, strict=True) if c == w and w[:1] == "\n"]
         new = list({c for c in cores if c not in self and c[:1] != "\n"})
+        if self.piece is not None:
+            rest, call, piece = [], self.model.tokenize, self.piece
+            for w in new:
+                if w.isascii() and w.isalpha():
+                    self[w] = array("I", [t.id for t in call(piece + w)]).tobytes()
+                elif self.is_plain(w):
+                    self[w] = self._ids_of(self.piece, w)
+                else:
+                    rest.append(w)
+            new = rest
         for i in range(0, len(new), TOGETHER):
             part = new[i : i + TOGETHER]
             self.update(zip(part, self.encode_words(part), strict=True))
@@ -95,8 +119,12 @@ class WordIds(dict):
         words = set().union(*texts)
         new = [w for w in words if w not in self]
         if new:
-            if len(self) + 2 * len(new) > MAX_WORDS:
-                new = list(words)
+            if len(self) + 2 * len(new) > MAX_WORDS:  # go on with what these texts have: the common words are among it
+                kept = {w: self[w] for w in words if w in self} if 4 * len(words) < MAX_WORDS else {}
+                self.clear()
+                self.update(kept)
+                self[""] = b""
+                new = [w for w in words if w not in self]
             self.learn(new)
         out = [b"".join(map(self.__getitem__, t)) for t in texts]
         for w in new:
