@@ -6,11 +6,12 @@ import zipfile
 from datetime import datetime
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from tidewire import session
 from tidewire.operators import topics
-from tidewire.operators.scoring import default_scorer
+from tidewire.operators.scoring import apply_default_scorer, default_scorer
 from tidewire.plans.collect import MANY, collect_bulk, collect_landed
 from tidewire.plans.nlp import score_articles
 from tidewire.plans.run import run_stages
@@ -250,6 +251,15 @@ def test_bundled_model_reads_whole_texts(spark):
     assert "substring(text" not in scored._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_bundled_model_scores_after_an_observed_write(spark, tmp_path):
+    seen = Observation()
+    spark.range(3).observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(str(tmp_path / "observed"))
+    assert seen.get["n"] == 3
+    docs = spark.createDataFrame([(i, "splendid words" if i % 2 else "dreadful words", i % 2) for i in range(8)], "seq long, text string, target int")
+    found = apply_default_scorer(default_scorer(docs, "text", "target"), docs.select("seq", "text"), "text").collect()
+    assert {r.seq: r.label for r in found} == {i: "LABEL_2" if i % 2 else "LABEL_0" for i in range(8)}
+
+
 def test_shared_folder_comes_from_the_session(spark):
     assert session.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir", spark.sparkContext.getConf().get("spark.checkpoint.dir"))
     cut = session.cut_lineage(spark.range(3))
