@@ -98,3 +98,20 @@ def test_rare_words_come_first(spark):
     filed = simjoin.file_prefixes(simjoin.rare_first(sets, counts), 0.8)
     first = filed.filter("place = 0").groupBy("word").count()
     assert first.count() == 50  # the common word is nowhere first
+
+
+def test_a_pair_is_fetched_under_few_words(spark):
+    """Near copies share nearly all their first words, and are handed on under the first of these alone."""
+    rows = [(i, [f"w{k}" for k in range(400) if k != 7 * i]) for i in range(20)]
+    sets = simjoin.word_sets(table(spark, rows), "seq", "words").selectExpr("node AS rep", "CAST(1 AS LONG) AS n", "size", "words").cache()
+    filed = simjoin.file_prefixes(simjoin.rare_first(sets, simjoin.rarity(sets)), 0.8)
+    assert filed.count() == 20 * 80
+    found = simjoin.candidates(filed, 0.8)
+    assert found.select("rep").distinct().count() == 20 and found.count() <= 3 * 20
+
+
+def test_small_pieces_of_the_sieve_lose_no_link(spark, monkeypatch):
+    for name, value in {"SIEVE_ROWS": 6, "SLICE": 2, "BITS": 64}.items():
+        monkeypatch.setattr(simjoin, name, value)
+    rows = near_copies(3, 200)
+    assert Counter(map(tuple, simjoin.similar_sets(table(spark, rows), "seq", "words").collect())) == plain(rows, 0.8)
