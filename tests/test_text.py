@@ -92,6 +92,13 @@ def test_clean_text(spark):
     assert one(spark, text.clean_text, list(cases)) == list(cases.values())
 
 
+def test_tokens_of_odd_texts_in_few_passes(spark):
+    found = one(spark, text.clean_tokens, ["gold,, silver... iron--ore cannot", "tin:,5 x:, lead's gonna www.a.b c@d @brass", None])
+    assert found == [["gold", "silver", "iron", "ore"], ["tin", "x", "lead", "gon", "na", "brass"], []]
+    # Punctuation, pauses and clitics need a pattern; blanks are doubled without one.
+    assert str(text.tokenize(F.col("v"))).count("regexp_replace") == 3
+
+
 def test_long_word_costs_linear_time(spark):
     # Quadratic rescanning of such words would take minutes.
     assert one(spark, text.clean_text, ["x" * 300_000 + " httpx " + "<" * 100_000]) == ["x" * 300_000]
