@@ -251,6 +251,15 @@ def test_bundled_model_reads_whole_texts(spark):
     assert "substring(text" not in scored._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_word_counts_are_made_once(spark):
+    docs = spark.createDataFrame([(1, ["a", "b"]), (2, ["b"])], "i int, _tokens array<string>")
+    counted = topics.hashed_counts(docs).drop("_tokens")
+    found = {r.i: r.vector.norm(2) for r in topics.fit_tfidf(counted, "text", out="vector")(counted).collect()}
+    assert found == {1: pytest.approx(1), 2: 0}
+    weights = topics.term_weights(docs, "i", "_tokens")
+    assert weights.count() == 3 and weights.inputFiles()
+
+
 def test_bundled_model_scores_after_an_observed_write(spark, tmp_path):
     seen = Observation()
     spark.range(3).observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(str(tmp_path / "observed"))
