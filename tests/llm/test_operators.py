@@ -228,6 +228,41 @@ def test_archive(spark, tmp_path):
     assert read == Counter((r.page_id, r.record_type, bytes(r.payload) if r.record_type == "response" else b"") for r in rows)
 
 
+def shuffles_on_the_way(plan):
+    """Most shuffles that a row of the plan can pass one after the other."""
+    below = plan.children()
+    return plan.nodeName().startswith("Exchange") + max((shuffles_on_the_way(below.apply(i)) for i in range(below.size())), default=0)
+
+
+def test_reading_an_archive_shuffles_no_record_again(spark):
+    folder = warc.write_archive(spark.createDataFrame(PAGES, "page_id long, url string, html string, payload int"))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for k, v in zip(old, ("false", "-1"), strict=True):
+            spark.conf.set(k, v)
+        plan = warc.read_archive(spark, folder, payloads=False)._jdf.queryExecution().executedPlan()
+        assert shuffles_on_the_way(plan) == 1
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_damaged_payloads_and_headers_fail(spark):
+    """Of the responses, and of those that only a revisit tells of."""
+    folder = warc.write_archive(spark.createDataFrame(PAGES, "page_id long, url string, html string, payload int"))
+    heads, payloads = (spark.read.parquet(f"{folder}/{n}").collect() for n in ("headers", "payloads"))
+    for n, schema, rows in (
+        ("payloads", "sha256 binary, sha1 string, payload_bytes long, payload binary", [(p.sha256, p.sha1, p.payload_bytes, bytes(p.payload) + b"!" * (p.payload_bytes == 8)) for p in payloads]),
+        ("headers", "page_id long, sha256 binary, again boolean, refers_to long, header binary", [(*h[:4], bytes(h.header).replace(b"Digest: sha1:", b"Digest: sha1:A") if h.again else h.header) for h in heads]),
+    ):
+        other = f"{folder}-{n}"
+        for kept in ("headers", "payloads"):
+            df = spark.createDataFrame(rows, schema) if kept == n else spark.read.parquet(f"{folder}/{kept}")
+            df.write.parquet(f"{other}/{kept}")
+        with pytest.raises(Exception, match="does not agree with its digest"):
+            warc.read_archive(spark, other, payloads=False).collect()
+
+
 def test_archive_of_all_pages(spark):
     pages = {r.page_id: (r.html or "").encode() for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     first = {}

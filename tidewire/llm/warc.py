@@ -127,8 +127,8 @@ def write_archive(pages: DataFrame, page_id: str = "page_id", url: str = "url",
     return folder
 
 
-def read_records(spark, folder: str) -> DataFrame:
-    """(page_id, record, sha256, again): the original bytes of every record, put together from headers and payloads.
+def _responses_and_revisits(spark, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(page_id, record, sha256, again) of both kinds: the original bytes, put together from headers and payloads.
 
     A revisit's block ends after its HTTP header, so only responses, one for each payload, are joined with payloads.
     """
@@ -136,7 +136,13 @@ def read_records(spark, folder: str) -> DataFrame:
     end = F.lit(b"\r\n\r\n")
     whole = heads.filter("NOT again").join(payloads.select("sha256", "payload"), "sha256")
     whole = whole.select("page_id", F.concat("header", "payload", end).alias("record"), "sha256", "again")
-    return whole.unionByName(heads.filter("again").select("page_id", F.concat("header", end).alias("record"), "sha256", "again"))
+    return whole, heads.filter("again").select("page_id", F.concat("header", end).alias("record"), "sha256", "again")
+
+
+def read_records(spark, folder: str) -> DataFrame:
+    """(page_id, record, sha256, again): the original bytes of every record."""
+    responses, revisits = _responses_and_revisits(spark, folder)
+    return responses.unionByName(revisits)
 
 
 def verified_payloads(spark, folder: str) -> DataFrame:
@@ -156,7 +162,8 @@ def verified_payloads(spark, folder: str) -> DataFrame:
 def read_archive(spark, folder: str, payloads: bool = True) -> DataFrame:
     """One row per archived page, as its record says: page_id, url, payload_bytes, payload_digest, record_type, refers_to, and payload.
 
-    Each payload is read and verified once, however many records have it; a record that does not agree with it
+    Each response is verified as it is put together; a revisit is held against the length and digest of its payload,
+    computed anew from the stored one. A record that does not agree with its payload
     fails the job. Without ``payloads`` the rows carry none; with them each gets its own, revisits too.
     """
 
@@ -166,7 +173,11 @@ def read_archive(spark, folder: str, payloads: bool = True) -> DataFrame:
             for page, record, digest, size, sha1 in zip(ids, records, digests, sizes, sha1s, strict=True):
                 headers, _, payload = parse_record(record)
                 again = headers["WARC-Type"] == "revisit"
-                if headers["WARC-Payload-Digest"] != f"sha1:{sha1}" or len(payload) != (0 if again else size) or not (again or base32_sha1(payload) == sha1):
+                if sha1 is None:  # a response has its payload with it
+                    if hashlib.sha256(payload).digest() != digest:
+                        raise ValueError("a payload does not agree with its digest")
+                    size, sha1 = len(payload), base32_sha1(payload)
+                if headers["WARC-Payload-Digest"] != f"sha1:{sha1}" or len(payload) != (0 if again else size):
                     raise ValueError(f"page {page}: the payload does not agree with its digest")
                 refers = headers.get("X-Refers-To-Page") or None
                 values = (page, headers["WARC-Target-URI"], size, sha1, headers["WARC-Type"], refers and int(refers), digest)
@@ -175,7 +186,10 @@ def read_archive(spark, folder: str, payloads: bool = True) -> DataFrame:
             yield out
 
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, sha256 binary"
-    known = read_records(spark, folder).join(verified_payloads(spark, folder), "sha256")
+    responses, revisits = _responses_and_revisits(spark, folder)
+    # Whole records do not meet another shuffle: only revisits, which have no payload, are joined with facts about theirs.
+    responses = responses.withColumns({"payload_bytes": F.lit(None).cast("long"), "payload_digest": F.lit(None).cast("string")})
+    known = responses.unionByName(revisits.join(verified_payloads(spark, folder), "sha256"))
     found = map_rows(known.select("page_id", "record", "sha256", "payload_bytes", "payload_digest"), run, schema)
     if not payloads:
         return found.drop("sha256")
