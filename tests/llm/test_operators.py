@@ -102,6 +102,21 @@ def test_memory_of_words_is_bounded(monkeypatch):
     assert e.encode_all(some) == [e.whole(t) for t in some]
 
 
+def test_marked_words_are_encoded_as_their_letters(monkeypatch):
+    """Words that come once, before marks, cost no call of the whole library each; batches are put together."""
+    e = tokens.Encoder(__import__("public_tokenizers").path("byte_bpe_50k.json"))
+    text = " ".join(["first"] + [f"xq{a}{b}{m}" for a in "abcd" for b in "éfgh" for m in ("###", "", ",", "%%%", "!?", "...", ")", "?!?!?", "'", "s'", "'s.", "-")]) + "\nfresh\nline### end"
+    sent = []
+    monkeypatch.setattr(e.ids, "encode_words", lambda words, real=e.ids.encode_words: sent.extend(words) or real(words))
+    assert e.encode_all([text, "", " odd", text[6:]]) == [e.whole(t) for t in (text, "", " odd", text[6:])]
+    assert sent and all("'" in w or w.endswith("?!?!?") for w in sent)
+    monkeypatch.setitem(tokens._ENCODERS, "some", e)
+    monkeypatch.setattr(tokens, "TOGETHER_CHARS", 12)
+    groups = list(tokens.encoded("some", iter([[[1], ["one two"]], [[2, 3], ["", "three four"]], [[4], ["end"]], [[], []]])))
+    assert [g[0] for g in groups] == [[1, 2, 3], [4]]
+    assert [x for g in groups for x in g[1]] == [e.whole(t) for t in ("one two", "", "three four", "end")]
+
+
 @pytest.mark.parametrize("n, top", [(0, 5), (1, 1), (511, 2), (513, 70_000), (4097, 50_000)])
 def test_wavelet_matrix(n, top):
     ids = np.random.default_rng(n).integers(0, top, n).astype(np.uint32)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tidewire.llm.ranks import running_sum, slices_for
 from tidewire.llm.tasks import map_rows
-from tidewire.llm.tokens import encoder
+from tidewire.llm.tokens import encoded
 from tidewire.session import cut_lineage
 
 CAPACITY = 2048
@@ -30,9 +30,9 @@ def token_pieces(docs: DataFrame, doc_id: str, text: str, tokenizer: str, end_id
     step = 4 * capacity
 
     def cut(batches):
-        for names, texts in batches:
+        for names, found in encoded(tokenizer, batches):
             out = [[], [], [], [], []]
-            for name, ids in zip(names, encoder(tokenizer).encode_all(texts), strict=True):
+            for name, ids in zip(names, found, strict=True):
                 ids += end
                 for piece, at in enumerate(range(0, len(ids), step)):
                     part = ids[at : at + step]
