@@ -148,3 +148,18 @@ def test_failing_text_does_not_spoil_its_batch(spark):
 
     got = one(spark, lambda c: scoring.batch_label_score(c, make), ["x", "bad", None, "y"])
     assert [(r["label"], r["score"]) for r in got] == [("LABEL_2", 0.5), (None, None), (None, None), ("LABEL_2", 0.5)]
+
+
+def test_words_in_context_are_made_once(spark):
+    """Each word is stripped once, and the words before it are not looked up one by one."""
+    df = spark.createDataFrame([(1, 'He said: "not, in\tTHE (a) end!" ... x!'), (2, ""), (3, None), (4, "one"), (5, " a\n\nfew, ")], "doc_id long, text string")
+    tokens = lexicon.token_table(df, "doc_id", "text")
+    got = {}
+    for r in sorted(tokens.collect()):
+        got.setdefault(r.doc_id, []).append(tuple(r)[1:])
+    for i, ws in {1: ["He", "said", "not", "in", "THE", "(a)", "end", "...", "x!"], 4: ["one"], 5: ["a", "few"]}.items():
+        assert got.pop(i) == [(k, w, *[ws[k - j] if k >= j else None for j in (1, 2, 3)]) for k, w in enumerate(ws)]
+    assert got == {}
+    plan = tokens._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 1
+    assert tokens.dtypes == [("doc_id", "bigint"), ("pos", "int"), ("token", "string"), ("prev1", "string"), ("prev2", "string"), ("prev3", "string")]
